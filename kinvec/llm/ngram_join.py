@@ -31,7 +31,7 @@ from .text import U64, Chunk, Rolling, Words, chunks, mix, ragged
 
 SHINGLE = 5
 COUNTS = 64
-_FLUSH = 1 << 21
+_FLUSH = 1 << 19
 _NONE = -(2**63)
 
 
@@ -130,7 +130,7 @@ def sets(documents: DataFrame) -> DataFrame:
 
 def groups(documents: DataFrame) -> DataFrame:
     """(g, rep, sid): distinct lists of sets that share a signature; rep: the least of the list."""
-    buckets = runtime.parts(documents.sparkSession)
+    buckets = 2 * runtime.parts(documents.sparkSession)
 
     def sign(batches):
         kept, size_, seen = [], 0, np.empty(0, np.int64)

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,7 +46,13 @@ def parts(spark: SparkSession) -> int:
 
 
 def plain(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the columns asked for, cast to fixed types, so that extra or clashing columns can't interfere."""
+    """Only the columns asked for, cast to fixed types, so that extra or clashing columns can't interfere.
+
+    Rows of these operators are whole texts or sets of thousands of hashes, so
+    Arrow batches of the default 10,000 rows would not be bounded memory.
+    """
+    if df.sparkSession.conf.get(_BATCH, "10000") == "10000":
+        df.sparkSession.conf.set(_BATCH, "1000")
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()])
 
 
