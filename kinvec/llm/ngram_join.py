@@ -13,10 +13,10 @@ ranges are full enough (2 * ranges with at most one empty part > k) is met by a
 signature that is not empty, so only the few other sets emit empty ones.
 
 Sets of one signature are members of a group.  Groups are never expanded into
-all pairs: each member is verified against the group's first member; only in
-groups that this leaves in several components, the members of different
-components are compared by a bound of their difference (from 64 counts a set),
-and what passes it is verified exactly.  Exact copies are one set throughout.
+all pairs: each set is verified against the first members of its groups (the
+three least of them); only in groups that this leaves in several components,
+the members of different components are compared by a bound of their difference
+(from 256 counts a set), and what passes it is verified exactly.  Exact copies are one set throughout.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from . import exchange, runtime
 from .text import U64, Chunk, Rolling, Words, chunks, mix, ragged
 
 SHINGLE = 5
-COUNTS = 64
+COUNTS = 256
+STARS = 3
 _FLUSH = 1 << 19
 _NONE = -(2**63)
 
@@ -248,43 +249,55 @@ def residual(members: DataFrame, labels: DataFrame, contents: DataFrame) -> Data
     rows = labelled.join(several, "g").join(contents.select("sid", "n", "counts"), "sid").select("g", "rep", "sid", "c", "n", "counts")
 
     def within(batches):
-        def pairs(rep, sid, c, n, x):
+        def pairs(sid, c, n, x):
             order = np.argsort(n, kind="stable")
             sid, c, n, x = sid[order], c[order], n[order], x[order]
             limit = np.searchsorted(n, n * 5 // 4, side="right")
-            for i in range(0, len(n), 256):
-                j = int(limit[min(i + 256, len(n)) - 1])
-                for at in range(i, j, 256):
-                    u, v = slice(i, min(i + 256, len(n))), slice(at, min(at + 256, j))
+            for i in range(0, len(n), 128):
+                j = int(limit[min(i + 128, len(n)) - 1])
+                for at in range(i, j, 128):
+                    u, v = slice(i, min(i + 128, len(n))), slice(at, min(at + 128, j))
                     ok = (c[u][:, None] != c[v][None]) & (np.arange(u.start, u.stop)[:, None] < np.arange(v.start, v.stop)[None])
                     p, q = np.nonzero(ok)
                     fine = _possible(x[u][p], x[v][q], n[u][p], n[v][q])
                     p, q = sid[u][p[fine]], sid[v][q[fine]]
-                    new = (p != rep) & (q != rep)  # those with rep are verified
-                    if new.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)[new]), pa.array(np.maximum(p, q)[new])], names=["a", "b"])
+                    yield np.minimum(p, q), np.maximum(p, q)
+
+        def split(table):
+            """All groups of some first members: a pair of several of these groups is emitted once."""
+            if not table.num_rows:
+                return
+            g, sid, c, n = [table[k].to_numpy() for k in ("g", "sid", "c", "n")]
+            raw = table["counts"].to_pylist()
+            edges = np.flatnonzero(np.append(True, g[1:] != g[:-1])).tolist() + [len(g)]
+            found: list[np.ndarray] = []
+            size = 0
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                x = np.frombuffer(b"".join(raw[a:b]), np.uint8).reshape(-1, COUNTS)
+                for p, q in pairs(sid[a:b], c[a:b], n[a:b], x):
+                    found.append(np.stack([p, q], axis=1))
+                    size += len(p)
+                    if size > 1 << 19:
+                        found = [np.unique(np.concatenate(found), axis=0)]
+                        size = len(found[0]) // 2
+            if found and len(once := np.unique(np.concatenate(found), axis=0)):
+                yield pa.RecordBatch.from_arrays([pa.array(once[:, 0].copy()), pa.array(once[:, 1].copy())], names=["a", "b"])
 
         kept = None
         for batch in batches:
             got = pa.Table.from_batches([batch])
             kept = got if kept is None else pa.concat_tables([kept, got])
-            g = kept["g"].to_numpy()
-            cut = int(np.searchsorted(g, g[-1])) if len(g) else 0
-            yield from split(kept.slice(0, cut), pairs)
+            rep = kept["rep"].to_numpy()
+            cut = int(np.searchsorted(rep, rep[-1])) if len(rep) else 0
+            if kept.num_rows - cut > 200_000:  # very many groups of one first member: whole groups so far
+                g = kept["g"].to_numpy()
+                cut = len(g) - int((g[::-1] != g[-1]).argmax()) if g[0] != g[-1] else 0
+            yield from split(kept.slice(0, cut))
             kept = kept.slice(cut)
         if kept is not None:
-            yield from split(kept, pairs)
-
-    def split(table, pairs):
-        if not table.num_rows:
-            return
-        g, rep, sid, c, n = [table[k].to_numpy() for k in ("g", "rep", "sid", "c", "n")]
-        x = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8).reshape(-1, COUNTS)
-        edges = np.flatnonzero(np.append(True, g[1:] != g[:-1])).tolist() + [len(g)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield from pairs(rep[a], sid[a:b], c[a:b], n[a:b], x[a:b])
-
-    spread = rows.repartition(runtime.parts(rows.sparkSession), "g").sortWithinPartitions("g")
+            yield from split(kept)
+
+    spread = rows.repartition(runtime.parts(rows.sparkSession), "rep").sortWithinPartitions("rep", "g")
     return spread.mapInArrow(within, "a long, b long").distinct()
 
 
@@ -304,14 +317,16 @@ def join(documents: DataFrame) -> DataFrame:
 
     wanted = members.select("sid").distinct().join(own, "sid").select(F.col("doc").alias("doc_id")).distinct()
     contents = runtime.written(_contents(docs.join(wanted, "doc_id", "left_semi").select("text")).dropDuplicates(["sid"]), "contents")
-    stars = members.where("rep <> sid").select(F.col("rep").alias("a"), F.col("sid").alias("b")).distinct()
+    # a set is in at most as many groups as it has signatures, so the collected set is bounded by its text
+    near = members.where("rep <> sid").groupBy("sid").agg(F.slice(F.array_sort(F.collect_set("rep")), 1, STARS).alias("reps"))
+    stars = runtime.written(near.select(F.explode("reps").alias("a"), F.col("sid").alias("b")), "stars")
     links = runtime.written(verified(stars, contents), "links")
     labels = runtime.components(links, "near")
     rest = runtime.written(residual(members, labels, contents), "rest")
     more = verified(rest.join(stars, ["a", "b"], "left_anti"), contents)
     links = runtime.written(links.union(more), "links")
     labels = runtime.components(links, "near")
-    runtime.dropped(members, contents, rest)
+    runtime.dropped(members, contents, rest, stars)
 
     least = own.join(labels.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "doc", F.coalesce("component", "sid").alias("c"))
     first = least.groupBy("c").agg(F.min("doc").alias("component_id"))

@@ -27,6 +27,7 @@ from .text import U64, Chunk, Words, chunks
 
 MAX_ROWS, FACTORS, HASH_BITS = 3000, 8, 14
 THRESHOLD = 0.3
+LEAST_STEPS = 280
 _BUCKETS, _STATS = 12, 10
 DIMENSIONS = (1 << HASH_BITS) + _BUCKETS * _STATS
 
@@ -97,6 +98,7 @@ class Machine:
 def train(offsets: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, factors: int = FACTORS, epochs: int = 6, rate: float = 0.02, seed: int = 7) -> Machine:
     rng = np.random.default_rng(seed)
     n = len(label)
+    epochs = max(epochs, -(-LEAST_STEPS * 64 // n))  # a small sample is gone through more often
     size = DIMENSIONS * (factors + 1) + 1
     theta = np.concatenate([np.zeros(DIMENSIONS + 1), rng.normal(0, 0.02, DIMENSIONS * factors)])
     mean, square, step = np.zeros(size), np.zeros(size), 0
@@ -127,7 +129,7 @@ def train(offsets: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np
             mean = 0.9 * mean + 0.1 * gradient
             square = 0.999 * square + 0.001 * gradient * gradient
             theta = theta - rate_now * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-        rate_now = rate / (epoch + 2)
+        rate_now = rate * (1 - (epoch + 1) / (epochs + 1))
     return Machine(float(theta[0]), theta[1 : DIMENSIONS + 1].copy(), theta[DIMENSIONS + 1 :].reshape(DIMENSIONS, factors).copy())
 
 
