@@ -213,8 +213,28 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, target: float =
             side, ids, own = table["side"].to_numpy(), table["id"].to_numpy(), vectors.matrix(table["v"])
             a, b, score = nearest(own[side == 0], ids[side == 0], own[side == 1], ids[side == 1], k) if (side == 1).any() else ([], [], [])
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[side == 0][a]), pa.array(ids[side == 1][b]), pa.array(score)], names=["query_id", "vec_id", "score"])
-
+                found.append((ids[side == 0][a], ids[side == 1][b], score))
+            if sum(len(f[0]) for f in found) > 1 << 18:
+                best()
+                if len(found[0][0]) > 1 << 17:  # so many queries that little is saved
+                    yield from sent()
+
+        def best():
+            """Only each query's k nearest so far in this task."""
+            q, x, d = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((x, d, q))
+            q, x, d = q[order], x[order], d[order]
+            head = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+            place = np.arange(len(q)) - np.repeat(head, np.diff(np.append(head, len(q))))
+            found[:] = [(q[place < k], x[place < k], d[place < k])]
+
+        def sent():
+            if found:
+                best()
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found[0]], names=["query_id", "vec_id", "score"])
+                found.clear()
+
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         kept, last = [], None
         for batch in batches:
             key = np.stack([batch.column(i).to_numpy() for i in range(3)])
@@ -228,6 +248,7 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, target: float =
                 kept.append(batch.slice(a, b - a))
         if kept:
             yield from one(pa.Table.from_batches(kept))
+        yield from sent()
 
     found = meeting.mapInArrow(meet, "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
