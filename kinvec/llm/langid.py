@@ -8,11 +8,13 @@ one binary search per character and order that is needed: an n-gram unseen in
 all languages falls back to the next lower order with each language's weight of
 its context.  The language of least cross-entropy per character wins.
 
-The models are fitted on a bounded, hash-chosen sample of labelled documents
-(`max_docs` a language, whole texts) and a rejection limit is calibrated on
-further labelled documents (`calibration_docs` a language): a text is rejected
-when its cross-entropy lies above what practically all documents of its
-language have, allowing for short texts.
+N-grams are counted over the whole texts of all labelled documents outside fold
+0; what reaches the driver and the broadcast model are those that make up at
+least `min_share` of their language's n-grams, so at most 1 / min_share a
+language.  A rejection limit is calibrated on a hash-chosen sample of the same
+documents (`calibration_docs` a language): a text is rejected when its
+cross-entropy lies above what practically all documents of its language have,
+allowing for short texts.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from . import runtime
 from .text import U64, chunks, mix
 
 ORDER = 4
-MAX_DOCS, CALIBRATION_DOCS = 1500, 400
+MIN_SHARE, CALIBRATION_DOCS = 2.0**-21, 400
+_MERGE = 1 << 20
 FOLDS = 5
 UNKNOWN = "und"
 _BLANK = U64(32)
@@ -208,23 +211,54 @@ def sampled(documents: DataFrame, per_language: dict[str, int], bound: int, salt
     return documents.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000)) < share * 1_000_000)
 
 
-def fit(documents: DataFrame, order: int = ORDER, max_docs: int = MAX_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> Model | None:
-    """Models of all languages of the labelled documents (doc_id, text, lang) outside fold 0; None without any."""
-    train = documents.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of all parts and their summed counts."""
+    grams, n = np.concatenate([g for g, _ in parts]), np.concatenate([n for _, n in parts])
+    own, at = np.unique(grams, return_inverse=True)
+    return own, np.bincount(at, weights=n).astype(np.int64)
+
+
+def counted(train: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, gram, n): n-grams of whole texts (text, lang), merged within a task before the shuffle."""
 
     def count(batches):
+        kept: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), dtype=object)
             for lang in dict.fromkeys(langs):
-                for part in chunks(batch.column(0).filter(pa.array(langs == lang))):
-                    own = batch.column(0).filter(pa.array(langs == lang)).slice(part.rows.start, len(part))
-                    symbol, _ = letters(own)
+                own = batch.column(0).filter(pa.array(langs == lang))
+                for part in chunks(own):
+                    symbol, _ = letters(own.slice(part.rows.start, len(part)))
                     g, n = np.unique(keys(symbol, order), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
-
-    grams = sampled(train, sizes, max_docs, 1).select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
-    rows = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+                    kept.setdefault(lang, []).append((g, n))
+                    size += len(g)
+                    if size > _MERGE:
+                        kept = {x: [merged(parts)] for x, parts in kept.items()}
+                        size = sum(len(parts[0][0]) for parts in kept.values())
+                        if size > _MERGE // 2:
+                            yield from sent(kept)
+                            kept, size = {}, 0
+        yield from sent(kept)
+
+    def sent(kept):
+        for lang, parts in kept.items():
+            g, n = merged(parts)
+            for at in range(0, len(g), 1 << 16):
+                own = g[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.view(np.int64)), pa.array(n[at : at + (1 << 16)])], names=["lang", "gram", "n"])
+
+    return train.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def fit(documents: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE, calibration_docs: int = CALIBRATION_DOCS) -> Model | None:
+    """Models of all languages of the labelled documents (doc_id, text, lang) outside fold 0; None without any."""
+    train = documents.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    grams = runtime.written(counted(train, order), "grams")
+    least = F.broadcast(grams.groupBy("lang").agg((F.sum("n") * min_share).alias("least")))  # one row a language
+    rows = grams.join(least, "lang").where("n >= least").select("lang", "gram", "n").toArrow()
+    runtime.dropped(grams)
     if not rows.num_rows:
         return None
     lang = rows["lang"].to_numpy()

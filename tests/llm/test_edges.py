@@ -233,13 +233,25 @@ def test_license_rules(spark):
 
 def test_langid(spark, docs, none):
     sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = langid.fit(sf.select("doc_id", "text", "lang"), max_docs=200, calibration_docs=50)
+    model = langid.fit(sf.select("doc_id", "text", "lang"), calibration_docs=50)
     got = langid.identify(sf, model).join(sf.select("doc_id", "lang"), "doc_id").where(langid.fold(F.col("doc_id")) == 0)
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
     assert got.agg(F.avg(F.col("rejected").cast("double"))).first()[0] < 0.01
     odd = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
     assert all(odd[i]["lang_pred"] == "und" and odd[i]["rejected"] and odd[i]["score"] == 0 for i in (0, 1, 2))
     assert langid.fit(none.select("doc_id", "text", "lang")) is None
+    few = langid.fit(sf.select("doc_id", "text", "lang"), min_share=1e-3, calibration_docs=50)
+    assert len(few.hashes[-1]) <= 1000 * len(few.languages) < len(model.hashes[-1])
+
+
+def test_counted_covers_all_texts(spark, docs, monkeypatch):
+    monkeypatch.setattr(langid, "_MERGE", 64)
+    want = Counter()
+    for r in docs.where("text is not null").select("text", "lang").collect():
+        run = " " + re.sub(" +", " ", "".join(c.lower()[0] if c.isalpha() and ord(c.lower()[0]) < 0xFFFF else " " for c in r["text"])).lstrip(" ")
+        want[r["lang"]] += len(run.rstrip(" ")) if run.strip() else 0
+    got = {r["lang"]: r["n"] for r in langid.counted(docs.where("text is not null")).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    assert all(want[x] <= got[x] <= want[x] + 2 * docs.count() for x in want)
     assert langid.identify(docs, None).where("lang_pred <> 'und'").count() == 0
 
 
