@@ -141,7 +141,7 @@ def index(rows: DataFrame, tree: Tree) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(shared.value.assign(vectors.matrix(batch.column(1)))), batch.column(0), batch.column(1)], names=["leaf", "vec_id", "v"])
 
-    return rows.select("vec_id", "v").mapInArrow(assign, "leaf int, vec_id long, v array<float>")
+    return rows.select("vec_id", "v").mapInArrow(runtime.task(assign), "leaf int, vec_id long, v array<float>")
 
 
 def calibrate(indexed: DataFrame, total: int, tree: Tree, k: int, target: float = TARGET, queries: int = CALIBRATION) -> int:
@@ -157,7 +157,7 @@ def calibrate(indexed: DataFrame, total: int, tree: Tree, k: int, target: float
             a, b, d = nearest(own, own_id, vectors.matrix(batch.column(2)), ids, k)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids[b]), pa.array(d), pa.array(leaf[b])], names=["q", "vec_id", "score", "leaf"])
 
-    found = indexed.mapInArrow(exact, "q long, vec_id long, score double, leaf int")
+    found = indexed.mapInArrow(runtime.task(exact), "q long, vec_id long, score double, leaf int")
     top = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("r") <= k).select("q", "leaf").collect()
     if not top:
         return tree.leaves
@@ -199,7 +199,7 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, target: float =
                 own = [walks.value.walk(q, visits) for q in vectors.matrix(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.list_(pa.int32()))], names=["query_id", "v", "leaves"])
 
-    queries = indexed.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v").mapInArrow(walk, "query_id long, v array<float>, leaves array<int>")
+    queries = indexed.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v").mapInArrow(runtime.task(walk), "query_id long, v array<float>, leaves array<int>")
     queries = runtime.written(queries, "queries").select("query_id", "v", F.explode("leaves").alias("leaf"))
     # one row a leaf: bounded by the sample, whatever the data
     by_leaf = indexed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / ROW_BLOCK).cast("int").alias("nb")).join(queries.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("nq")), "leaf")
@@ -250,7 +250,7 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, target: float =
             yield from one(pa.Table.from_batches(kept))
         yield from sent()
 
-    found = meeting.mapInArrow(meet, "query_id long, vec_id long, score double")
+    found = meeting.mapInArrow(runtime.task(meet), "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", F.lit(visits).alias("visited"))
 

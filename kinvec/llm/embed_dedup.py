@@ -116,7 +116,7 @@ def links(embeddings: DataFrame, threshold: float = THRESHOLD, miss: float = MIS
                 out = [part.column("uid"), part.column("label"), part.column("m"), pa.array([d] * len(codes), pa.int32()), part.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(codes.astype(np.int32).tolist(), pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(out, names=["uid", "label", "m", "d", "v", "codes", "code"])
 
-    coded = equal.select("uid", "label", "m", "v").mapInArrow(sign, "uid long, label int, m long, d int, v array<float>, codes binary, code array<int>")
+    coded = equal.select("uid", "label", "m", "v").mapInArrow(runtime.task(sign), "uid long, label int, m long, d int, v array<float>, codes binary, code array<int>")
     coded = runtime.written(coded, "codes")
     places = coded.select("uid", "label", "d", F.posexplode("code").alias("t", "c"))
     sizes = places.groupBy("label", "d", "t", "c").count().where("count > 1").select("label", "d", "t", "c", F.ceil(F.col("count") / block).cast("int").alias("nb"))
@@ -127,7 +127,7 @@ def links(embeddings: DataFrame, threshold: float = THRESHOLD, miss: float = MIS
         F.xxhash64("label", "d", "t", "c", F.least("b", "o"), F.greatest("b", "o")).alias("key"), "t",
         F.when(F.col("b") == F.col("o"), 0).when(F.col("b") < F.col("o"), 1).otherwise(2).alias("side"), "uid", "m", "v", "codes",
     )
-    found = dealt.repartition(runtime.parts(spark), "key").sortWithinPartitions("key").mapInArrow(lambda it: _verify(it, threshold), _PAIRS)
+    found = dealt.repartition(runtime.parts(spark), "key").sortWithinPartitions("key").mapInArrow(runtime.task(lambda it: _verify(it, threshold)), _PAIRS)
     found = runtime.written(found, "links")
     labels = runtime.components(found.select(F.col("uid").alias("a"), F.col("root").alias("b")), "embed")
 

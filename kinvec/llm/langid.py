@@ -248,7 +248,7 @@ def counted(train: DataFrame, order: int = ORDER) -> DataFrame:
                 own = g[at : at + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.view(np.int64)), pa.array(n[at : at + (1 << 16)])], names=["lang", "gram", "n"])
 
-    return train.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return train.select("text", "lang").mapInArrow(runtime.task(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(documents: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE, calibration_docs: int = CALIBRATION_DOCS) -> Model | None:
@@ -320,7 +320,7 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
                     names=["doc_id", "lang_pred", "score", "entropy", "rejected"],
                 )
 
-    return runtime.plain(documents, doc_id="long", text="string").mapInArrow(predict, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
+    return runtime.plain(documents, doc_id="long", text="string").mapInArrow(runtime.task(predict), "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,7 +126,7 @@ def sets(documents: DataFrame) -> DataFrame:
                 size, sid = set_ids(*shingles(part), len(part))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.rows.start, len(part)), pa.array(size.astype(np.int64)), pa.array(sid)], names=["doc_id", "n", "sid"])
 
-    return documents.select("doc_id", "text").mapInArrow(each, "doc_id long, n long, sid long")
+    return documents.select("doc_id", "text").mapInArrow(runtime.task(each), "doc_id long, n long, sid long")
 
 
 def groups(documents: DataFrame) -> DataFrame:
@@ -186,8 +186,8 @@ def groups(documents: DataFrame) -> DataFrame:
                 a, n, own = heads[i : i + 50_000], length[i : i + 50_000], g[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n).view(np.int64)), pa.array(np.repeat(sid[a], n)), pa.array(sid[ragged(a, n)])], names=["g", "rep", "sid"])
 
-    packed = documents.select("text").mapInArrow(sign, exchange.PACKED)
-    return exchange.gathered(packed).mapInArrow(meet, "g long, rep long, sid long")
+    packed = documents.select("text").mapInArrow(runtime.task(sign), exchange.PACKED)
+    return exchange.gathered(packed).mapInArrow(runtime.task(meet), "g long, rep long, sid long")
 
 
 def _contents(documents: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def _contents(documents: DataFrame) -> DataFrame:
                     names=["sid", "n", "counts", "shingles"],
                 )
 
-    return documents.mapInArrow(each, "sid long, n long, counts binary, shingles binary")
+    return documents.mapInArrow(runtime.task(each), "sid long, n long, counts binary, shingles binary")
 
 
 def _possible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -237,9 +237,9 @@ def verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
 
     sized = pairs.join(brief.select(F.col("sid").alias("a"), F.col("n").alias("n"), F.col("counts").alias("x")), "a").join(brief.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("counts").alias("y")), "b")
     sized = sized.where("5 * least(n, m) >= 4 * greatest(n, m)").select("a", "b", "n", "m", "x", "y")
-    left = runtime.written(sized.mapInArrow(may, "a long, b long"), "pairs")
+    left = runtime.written(sized.mapInArrow(runtime.task(may), "a long, b long"), "pairs")
     both = left.join(contents.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b").join(contents.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(runtime.task(linked), "a long, b long")
 
 
 def residual(members: DataFrame, labels: DataFrame, contents: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def residual(members: DataFrame, labels: DataFrame, contents: DataFrame) -> Data
             yield from split(kept)
 
     spread = rows.repartition(runtime.parts(rows.sparkSession), "rep").sortWithinPartitions("rep", "g")
-    return spread.mapInArrow(within, "a long, b long").distinct()
+    return spread.mapInArrow(runtime.task(within), "a long, b long").distinct()
 
 
 def join(documents: DataFrame) -> DataFrame:

@@ -15,7 +15,6 @@ join of the (bounded) patterns; texts and ids are never shuffled.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -157,9 +156,9 @@ class WordTokenizer(WordStore):
         return self.batch([text])[0]
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    """One for each worker process: the words it has learned serve its later tasks."""
+    return runtime.kept("packing", path, lambda: WordTokenizer(path))
 
 
 def default_tokenizer() -> str:
@@ -191,7 +190,7 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = C
                             column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return runtime.plain(documents, doc_id="long", text="string").mapInArrow(cut, _PIECES)
+    return runtime.plain(documents, doc_id="long", text="string").mapInArrow(runtime.task(cut, "packing"), _PIECES)
 
 
 def padding(total: int, capacity: int = CAPACITY) -> int:

@@ -148,7 +148,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epoch
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at.start, len(part)), batch.column(3).slice(at.start, len(part)), pa.array(rows, pa.binary())], names=["doc_id", "quality", "row"])
 
     known = documents.join(F.broadcast(own), "doc_id").select("doc_id", "text", "n_chars", "quality")  # own: at most about max_rows rows
-    got = known.mapInArrow(encode, "doc_id long, quality int, row binary").toArrow().sort_by("doc_id")
+    got = known.mapInArrow(runtime.task(encode), "doc_id long, quality int, row binary").toArrow().sort_by("doc_id")
     if not got.num_rows:
         return Machine(0.0, np.zeros(DIMENSIONS), np.zeros((DIMENSIONS, FACTORS)))
     rows = got["row"].to_pylist()
@@ -172,7 +172,7 @@ def score(documents: DataFrame, machine: Machine, threshold: float = THRESHOLD)
                 p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return documents.select("doc_id", "text", "n_chars").mapInArrow(predict, "doc_id long, score double, predicted int")
+    return documents.select("doc_id", "text", "n_chars").mapInArrow(runtime.task(predict), "doc_id long, score double, predicted int")
 
 
 def with_metadata(documents: DataFrame) -> DataFrame:

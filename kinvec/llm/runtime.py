@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +59,47 @@ def plain(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()])
 
 
+_KEPT: dict[tuple[str, str], object] = {}
+
+
+def kept(owner: str, name: str, make: Callable[[], object]):
+    """What `make` gives, kept in this worker process for later tasks of its owner; one thing for each owner."""
+    if (owner, name) not in _KEPT:
+        _let_go_of(lambda key: key[0] == owner)
+        _KEPT[owner, name] = make()
+    return _KEPT[owner, name]
+
+
+def _let_go_of(which: Callable[[tuple[str, str]], bool]) -> None:
+    for key in [key for key in _KEPT if which(key)]:
+        del _KEPT[key]
+
+
+def _begin(owner: str | None) -> None:
+    _let_go_of(lambda key: key[0] != owner)
+
+
+def _end() -> None:
+    """Give freed memory back to the machine: worker processes live on and serve other operators."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def task(each: Callable[[Iterable], Iterator], owner: str | None = None) -> Callable[[Iterable], Iterator]:
+    """`each` for mapInArrow: only what its owner keeps stays in the worker, and freed memory is returned at the end."""
+
+    def run(batches):
+        _begin(owner)
+        try:
+            yield from each(batches)
+        finally:
+            _end()
+
+    return run
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of edges (a long, b long): rows (id, component), component the smallest id.
 

@@ -84,8 +84,8 @@ def sketch(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> np.n
                 counter[cell] = np.minimum(counter[cell] + n, 2)
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(counter >= 2).tobytes()], pa.binary())], names=["bucket", "payload"])
 
-    packed = documents.select("text").mapInArrow(count, exchange.PACKED)
-    merged = packed.repartition(ROWS * SHARDS, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, exchange.PACKED)
+    packed = documents.select("text").mapInArrow(runtime.task(count), exchange.PACKED)
+    merged = packed.repartition(ROWS * SHARDS, "bucket").sortWithinPartitions("bucket").mapInArrow(runtime.task(merge), exchange.PACKED)
     out = np.zeros((ROWS * SHARDS, per // 8), dtype=np.uint8)
     for bucket, payload in merged.toLocalIterator():
         out[bucket] = np.frombuffer(payload, np.uint8)
@@ -172,8 +172,8 @@ def marks(documents: DataFrame, bits: np.ndarray, window: int = WINDOW, gram: in
             again = order[~first]
             yield from _runs(*[np.concatenate([own[i][again], entry[i][late]]) for i in (2, 3, 4)])
 
-    packed = documents.select("k", "h", "text").mapInArrow(through, exchange.PACKED)
-    return exchange.gathered(packed).mapInArrow(settle, _MARKS)
+    packed = documents.select("k", "h", "text").mapInArrow(runtime.task(through), exchange.PACKED)
+    return exchange.gathered(packed).mapInArrow(runtime.task(settle), _MARKS)
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "kept", "n_words", "n_removed", "kept_sha256"])
 
     out = with_marks(docs, marks(docs, bits, window, gram))
-    return out.mapInArrow(rest, "doc_id long, kept string, n_words long, n_removed long, kept_sha256 string")
+    return out.mapInArrow(runtime.task(rest), "doc_id long, kept string, n_words long, n_removed long, kept_sha256 string")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

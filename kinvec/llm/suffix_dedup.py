@@ -74,7 +74,7 @@ def anchored(documents: DataFrame) -> DataFrame:
                     [pa.array(anchor), pa.array(block), pa.array(k[part.rows][row]), pa.array(h[part.rows][row]), pa.array(first - part.offsets[row]), pa.array(n)], names=["anchor", "block", "k", "h", "start", "n"]
                 )
 
-    return documents.select("k", "h", "text").mapInArrow(each, "anchor long, block long, k long, h long, start long, n long")
+    return documents.select("k", "h", "text").mapInArrow(runtime.task(each), "anchor long, block long, k long, h long, start long, n long")
 
 
 class Shard:
@@ -251,9 +251,9 @@ def marks(documents: DataFrame, hot: int = HOT) -> DataFrame:
 
     # rows repeated with one doc_id and text hold the same bytes: one of them is enough
     asked = documents.select("k", "h", "text").join(ask, ["k", "h"]).select("k", "h", "text", "asked")
-    pieces = runtime.written(asked.mapInArrow(cut, "anchor long, k long, h long, start long, done boolean, hot boolean, bytes binary").dropDuplicates(["anchor", "k", "h", "start"]), "pieces")
-    cold = pieces.where("not hot").select("anchor", "k", "h", "start", "done", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_merge, _MARKS)
-    strings = pieces.where("hot").select("k", "h", "start", "bytes").mapInArrow(_strings, "w1 long, w2 long, k long, h long, start long")
+    pieces = runtime.written(asked.mapInArrow(runtime.task(cut), "anchor long, k long, h long, start long, done boolean, hot boolean, bytes binary").dropDuplicates(["anchor", "k", "h", "start"]), "pieces")
+    cold = pieces.where("not hot").select("anchor", "k", "h", "start", "done", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(runtime.task(_merge), _MARKS)
+    strings = pieces.where("hot").select("k", "h", "start", "bytes").mapInArrow(runtime.task(_strings), "w1 long, w2 long, k long, h long, start long")
     again = strings.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w1", "w2")
     crowd = strings.join(again, ["w1", "w2"], "left_semi").select("k", "h", "start", F.lit(1).cast("long").alias("n"))
     return equal.union(cold).union(crowd)
@@ -287,7 +287,7 @@ def dedup(documents: DataFrame, hot: int = HOT) -> DataFrame:
             kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, kinds, strict=True)]], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_marks(docs, marks(docs, hot)).mapInArrow(rest, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_marks(docs, marks(docs, hot)).mapInArrow(runtime.task(rest), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

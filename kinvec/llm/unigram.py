@@ -211,15 +211,9 @@ class Encoder(WordStore):
         return [raw[a:b][1:] for a, b in zip(end[:-1], end[1:], strict=True)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def _encoder(path: str, shared) -> Encoder:
     """One for each worker process and model: what it has learned serves its later tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(shared.value)
-    return _ENCODERS[path]
+    return runtime.kept("unigram", path, lambda: Encoder(shared.value))
 
 
 def default_model() -> str:
@@ -252,7 +246,7 @@ def encode(documents: DataFrame, model: str | None = None) -> DataFrame:
                 arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.rows.start, len(part)), arrays, pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64()), pa.array(restored, pa.bool_())], names=["doc_id", "ids", "n_tokens", "ids_crc32", "restored"])
 
-    return runtime.plain(documents, doc_id="long", text="string").mapInArrow(each, "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, restored boolean")
+    return runtime.plain(documents, doc_id="long", text="string").mapInArrow(runtime.task(each, "unigram"), "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, restored boolean")
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -267,7 +261,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
             texts = iter(encoder.decode(np.concatenate([*own, np.empty(0, np.int64)]).astype(np.int64), np.array([len(x) for x in own], dtype=np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else next(texts).decode("utf-8", "replace") for x in ids], pa.string())], names=["doc_id", "text"])
 
-    return runtime.plain(encoded, doc_id="long", ids="array<int>").mapInArrow(each, "doc_id long, text string")
+    return runtime.plain(encoded, doc_id="long", ids="array<int>").mapInArrow(runtime.task(each), "doc_id long, text string")
 
 
 def op8_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
