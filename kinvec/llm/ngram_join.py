@@ -16,7 +16,9 @@ Sets of one signature are members of a group.  Groups are never expanded into
 all pairs: each set is verified against the first members of its groups (the
 three least of them); only in groups that this leaves in several components,
 the members of different components are compared by a bound of their difference
-(from 256 counts a set), and what passes it is verified exactly.  Exact copies are one set throughout.
+(from 256 counts a set), and what passes it is verified exactly.  Such groups
+are compared in shares of bounded size, large ones block by block.  Exact copies
+are one set throughout.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from .text import U64, Chunk, Rolling, Words, chunks, mix, ragged
 SHINGLE = 5
 COUNTS = 256
 STARS = 3
+MOST = 4096
 _FLUSH = 1 << 19
 _NONE = -(2**63)
 
@@ -242,62 +245,88 @@ def verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(runtime.task(linked), "a long, b long")
 
 
-def residual(members: DataFrame, labels: DataFrame, contents: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a group's members in different components that may be similar."""
+def dealt(members: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
+    """(deal, unit, across, side, sid, c): members of the groups left in several components, in shares of bounded size.
+
+    Groups of one first member are dealt together, as many pairs are in several
+    of them, but one of more than `most` rows is dealt in several shares.  A
+    group of more than `most` members is cut into blocks by hash, and each two
+    blocks (or one with itself) are a unit; `across`: only pairs of two sides count.
+    """
     labelled = members.join(labels.withColumnRenamed("id", "sid"), "sid", "left").select("g", "rep", "sid", F.coalesce("component", "sid").alias("c"))
-    several = labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
-    rows = labelled.join(several, "g").join(contents.select("sid", "n", "counts"), "sid").select("g", "rep", "sid", "c", "n", "counts")
+    several = labelled.groupBy("g").agg(F.min("rep").alias("rep"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
+    blocks = F.ceil(F.col("m") / most)
+    several = runtime.written(several.select("g", "rep", "m", blocks.alias("blocks")), "several")
+    heavy = several.groupBy("rep").agg(F.ceil(F.sum(F.col("m") * F.col("blocks")) / most).alias("shares"))
+    several = several.join(heavy, "rep").select("g", "blocks", F.pmod(F.xxhash64("g"), "shares").alias("share"))
+    own = F.pmod(F.xxhash64("sid", F.lit(7)), "blocks")
+    rows = labelled.join(several, "g").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    i, j = F.least("side", "other"), F.greatest("side", "other")
+    unit = F.when(F.col("blocks") == 1, F.col("g")).otherwise(F.xxhash64("g", i, j))
+    return rows.select(F.xxhash64("rep", "share", i, j).alias("deal"), unit.alias("unit"), (i < j).alias("across"), F.col("side").cast("long").alias("side"), "sid", "c")
+
+
+def residual(members: DataFrame, labels: DataFrame, contents: DataFrame, most: int = MOST) -> DataFrame:
+    """Pairs (a, b) of a group's members in different components that may be similar."""
+    rows = dealt(members, labels, most).join(contents.select("sid", "n", "counts"), "sid")
 
     def within(batches):
-        def pairs(sid, c, n, x):
+        def pairs(sid, c, side, across, n, x):
             order = np.argsort(n, kind="stable")
-            sid, c, n, x = sid[order], c[order], n[order], x[order]
+            sid, c, side, n, x = sid[order], c[order], side[order], n[order], x[order]
             limit = np.searchsorted(n, n * 5 // 4, side="right")
             for i in range(0, len(n), 128):
                 j = int(limit[min(i + 128, len(n)) - 1])
                 for at in range(i, j, 128):
                     u, v = slice(i, min(i + 128, len(n))), slice(at, min(at + 128, j))
                     ok = (c[u][:, None] != c[v][None]) & (np.arange(u.start, u.stop)[:, None] < np.arange(v.start, v.stop)[None])
+                    if across:
+                        ok &= side[u][:, None] != side[v][None]
                     p, q = np.nonzero(ok)
                     fine = _possible(x[u][p], x[v][q], n[u][p], n[v][q])
                     p, q = sid[u][p[fine]], sid[v][q[fine]]
                     yield np.minimum(p, q), np.maximum(p, q)
 
+        def once(found):
+            out = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], names=["a", "b"])
+
         def split(table):
-            """All groups of some first members: a pair of several of these groups is emitted once."""
+            """All units of some shares: a pair of several of these units is emitted once, or once each _FLUSH pairs."""
             if not table.num_rows:
                 return
-            g, sid, c, n = [table[k].to_numpy() for k in ("g", "sid", "c", "n")]
-            raw = table["counts"].to_pylist()
-            edges = np.flatnonzero(np.append(True, g[1:] != g[:-1])).tolist() + [len(g)]
+            unit, sid, c, side, across, n = [table[k].to_numpy() for k in ("unit", "sid", "c", "side", "across", "n")]
+            x = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8).reshape(-1, COUNTS)
+            edges = np.flatnonzero(np.append(True, unit[1:] != unit[:-1])).tolist() + [len(unit)]
             found: list[np.ndarray] = []
             size = 0
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                x = np.frombuffer(b"".join(raw[a:b]), np.uint8).reshape(-1, COUNTS)
-                for p, q in pairs(sid[a:b], c[a:b], n[a:b], x):
+                for p, q in pairs(sid[a:b], c[a:b], side[a:b], bool(across[a]), n[a:b], x[a:b]):
                     found.append(np.stack([p, q], axis=1))
                     size += len(p)
-                    if size > 1 << 19:
-                        found = [np.unique(np.concatenate(found), axis=0)]
-                        size = len(found[0]) // 2
-            if found and len(once := np.unique(np.concatenate(found), axis=0)):
-                yield pa.RecordBatch.from_arrays([pa.array(once[:, 0].copy()), pa.array(once[:, 1].copy())], names=["a", "b"])
+                    if size > _FLUSH:
+                        yield once(found)
+                        found, size = [], 0
+            if size:
+                yield once(found)
 
-        kept = None
+        kept: list[pa.Table] = []
         for batch in batches:
-            got = pa.Table.from_batches([batch])
-            kept = got if kept is None else pa.concat_tables([kept, got])
-            rep = kept["rep"].to_numpy()
-            cut = int(np.searchsorted(rep, rep[-1])) if len(rep) else 0
-            if kept.num_rows - cut > 200_000:  # very many groups of one first member: whole groups so far
-                g = kept["g"].to_numpy()
-                cut = len(g) - int((g[::-1] != g[-1]).argmax()) if g[0] != g[-1] else 0
-            yield from split(kept.slice(0, cut))
-            kept = kept.slice(cut)
-        if kept is not None:
-            yield from split(kept)
-
-    spread = rows.repartition(runtime.parts(rows.sparkSession), "rep").sortWithinPartitions("rep", "g")
+            if not batch.num_rows:
+                continue
+            got, deal = pa.Table.from_batches([batch]), batch.column(0).to_numpy()
+            if kept and deal[0] != kept[-1]["deal"][-1].as_py():
+                yield from split(pa.concat_tables(kept))
+                kept = []
+            cut = int(np.argmax(deal == deal[-1]))
+            if cut:
+                yield from split(pa.concat_tables([*kept, got.slice(0, cut)]))
+                kept = []
+            kept.append(got.slice(cut))
+        if kept:
+            yield from split(pa.concat_tables(kept))
+
+    spread = rows.select("deal", "unit", "across", "side", "sid", "c", "n", "counts").repartition(runtime.parts(rows.sparkSession), "deal").sortWithinPartitions("deal", "unit")
     return spread.mapInArrow(runtime.task(within), "a long, b long").distinct()
 
 

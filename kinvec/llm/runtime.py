@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH_BYTES, _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 25
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,10 +53,12 @@ def plain(df: DataFrame, **columns: str) -> DataFrame:
     """Only the columns asked for, cast to fixed types, so that extra or clashing columns can't interfere.
 
     Rows of these operators are whole texts or sets of thousands of hashes, so
-    Arrow batches of the default 10,000 rows would not be bounded memory.
+    Arrow batches of the default 10,000 rows would not be bounded memory, nor
+    would 1,000 rows of very long texts.
     """
     if df.sparkSession.conf.get(_BATCH, "10000") == "10000":
         df.sparkSession.conf.set(_BATCH, "1000")
+        df.sparkSession.conf.set(_BATCH_BYTES, str(_BYTES))
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()])
 
 

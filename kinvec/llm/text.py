@@ -39,7 +39,7 @@ def powers(n: int, base: int = _BASE, inverse: bool = False) -> np.ndarray:
         step = np.full(size, pow(base, -1, 2**64) if inverse else base, dtype=U64)
         step[0] = 1
         have = np.multiply.accumulate(step)
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _POW[(base, inverse)] = have
     return have[:n]
 

@@ -153,6 +153,30 @@ def test_every_similar_pair_shares_a_signature():
                 assert set(s[row == 0]) & set(s[row == 1])
 
 
+def test_residual_in_shares_and_blocks(spark):
+    base = [prose(60).split() for _ in range(3)]
+    own = [" ".join(b[:k] + ["other"] + b[k:]) for b in base for k in range(0, 60, 5)]
+    contents = ngram_join._contents(spark.createDataFrame([(t,) for t in own], "text string").coalesce(1)).cache()
+    rows = {r["sid"]: (r["n"], np.frombuffer(r["counts"], np.uint8)) for r in contents.collect()}
+    sids = sorted(rows)
+    # one group of all sets, two smaller ones of the same first member, one wholly in one component
+    lists = {1: sids, 2: sids[:9], 3: sids[:1] + sids[20:], 4: sids[4:6]}
+    label = {s: sids[0] if i < 8 else sids[8] if i < 16 else s for i, s in enumerate(sids)}
+    members = spark.createDataFrame([(g, x[0], s) for g, x in lists.items() for s in x], "g long, rep long, sid long")
+    labels = spark.createDataFrame([(s, c) for s, c in label.items() if s != c or s in (sids[0], sids[8])], "id long, component long")
+    want = {
+        (a, b) for x in lists.values() for a in x for b in x
+        if a < b and label[a] != label[b] and 5 * min(rows[a][0], rows[b][0]) >= 4 * max(rows[a][0], rows[b][0])
+        and ngram_join._possible(rows[a][1], rows[b][1], rows[a][0], rows[b][0])
+    }
+    assert want
+    for most in (3, 10, 4096):
+        shares = ngram_join.dealt(members, labels, most).groupBy("unit").count().agg({"count": "max"}).first()[0]
+        assert shares <= len(sids) if most > 10 else shares < len(sids)
+        got = [(r["a"], r["b"]) for r in ngram_join.residual(members, labels, contents, most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
