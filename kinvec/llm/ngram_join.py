@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange, runtime
-from .text import U64, Chunk, Rolling, Words, chunks, mix, ragged
+from .text import U64, Chunk, Rolling, Words, chunks, mix, ragged, utf8
 
 SHINGLE = 5
 COUNTS = 256
 STARS = 3
-MOST = 4096
+MOST = 1 << 18
 _FLUSH = 1 << 19
 _NONE = -(2**63)
 
@@ -292,11 +292,12 @@ def residual(members: DataFrame, labels: DataFrame, contents: DataFrame, most: i
             return pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], names=["a", "b"])
 
         def split(table):
-            """All units of some shares: a pair of several of these units is emitted once, or once each _FLUSH pairs."""
+            """All units of some shares: a pair of several of these units is emitted once, or once each _FLUSH / 2 distinct pairs."""
             if not table.num_rows:
                 return
             unit, sid, c, side, across, n = [table[k].to_numpy() for k in ("unit", "sid", "c", "side", "across", "n")]
-            x = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8).reshape(-1, COUNTS)
+            data, offsets = utf8(table["counts"])
+            x = data[offsets[0] : offsets[-1]].reshape(-1, COUNTS)
             edges = np.flatnonzero(np.append(True, unit[1:] != unit[:-1])).tolist() + [len(unit)]
             found: list[np.ndarray] = []
             size = 0
@@ -305,8 +306,11 @@ def residual(members: DataFrame, labels: DataFrame, contents: DataFrame, most: i
                     found.append(np.stack([p, q], axis=1))
                     size += len(p)
                     if size > _FLUSH:
-                        yield once(found)
-                        found, size = [], 0
+                        found = [np.unique(np.concatenate(found), axis=0)]
+                        size = len(found[0])
+                        if size > _FLUSH // 2:
+                            yield once(found)
+                            found, size = [], 0
             if size:
                 yield once(found)
 
