@@ -9,9 +9,10 @@ all languages falls back to the next lower order with each language's weight of
 its context.  The language of least cross-entropy per character wins.
 
 N-grams are counted over the whole texts of all labelled documents outside fold
-0; what reaches the driver and the broadcast model are those that make up at
-least `min_share` of their language's n-grams, so at most 1 / min_share a
-language.  A rejection limit is calibrated on a hash-chosen sample of the same
+0, and the model holds every one of them, so it grows with the distinct n-grams
+of the corpus; totals, kinds and continuation counts are of all of them too.  Who
+asks for a `min_share` gets a smaller model: the rarer n-grams of the highest
+order then leave it, after all statistics are taken.  A rejection limit is calibrated on a hash-chosen sample of the same
 documents (`calibration_docs` a language): a text is rejected when its
 cross-entropy lies above what practically all documents of its language have,
 allowing for short texts.
@@ -31,7 +32,7 @@ from . import runtime
 from .text import U64, chunks, mix
 
 ORDER = 4
-MIN_SHARE, CALIBRATION_DOCS = 2.0**-21, 400
+CALIBRATION_DOCS = 400
 _MERGE = 1 << 20
 FOLDS = 5
 UNKNOWN = "und"
@@ -166,9 +167,13 @@ def kneser_ney(counts: list[np.ndarray], grams: np.ndarray, order: int = ORDER,
     return out
 
 
-def build(languages: list[str], tables: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> Model:
+def build(languages: list[str], tables: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, min_share: float = 0.0) -> Model:
     """One model of all languages; tables: a language's distinct n-grams and their counts."""
     fitted = [kneser_ney(tables[x][1], tables[x][0], order) for x in languages]
+    if min_share:
+        for x, f in zip(languages, fitted, strict=True):
+            often = tables[x][1] >= min_share * tables[x][1].sum()
+            f[-1] = tuple(column[often] for column in f[-1])
     floor = np.array([np.log(0.75 / (len(f[0][0]) + 1) / 10) for f in fitted])
     hashes, logp, backoff = [], [], []
     below: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -251,13 +256,12 @@ def counted(train: DataFrame, order: int = ORDER) -> DataFrame:
     return train.select("text", "lang").mapInArrow(runtime.task(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(documents: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE, calibration_docs: int = CALIBRATION_DOCS) -> Model | None:
+def fit(documents: DataFrame, order: int = ORDER, min_share: float = 0.0, calibration_docs: int = CALIBRATION_DOCS) -> Model | None:
     """Models of all languages of the labelled documents (doc_id, text, lang) outside fold 0; None without any."""
     train = documents.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     grams = runtime.written(counted(train, order), "grams")
-    least = F.broadcast(grams.groupBy("lang").agg((F.sum("n") * min_share).alias("least")))  # one row a language
-    rows = grams.join(least, "lang").where("n >= least").select("lang", "gram", "n").toArrow()
+    rows = grams.toArrow()
     runtime.dropped(grams)
     if not rows.num_rows:
         return None
@@ -268,7 +272,7 @@ def fit(documents: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE,
         own = lang == x
         rank = np.argsort(gram[own])
         tables[x] = (gram[own][rank], n[own][rank])
-    model = build(sorted(tables), tables, order)
+    model = build(sorted(tables), tables, order, min_share)
 
     held = sampled(train, sizes, calibration_docs, 2).select("text", "lang").toArrow()
     lang, own = held["lang"].to_pylist(), held["text"].combine_chunks()

@@ -268,6 +268,22 @@ def test_langid(spark, docs, none):
     assert len(few.hashes[-1]) <= 1000 * len(few.languages) < len(model.hashes[-1])
 
 
+def test_langid_keeps_rare_grams(spark):
+    """One 4-gram of over two million; the statistics of lower orders are of all n-grams, also where few are kept."""
+    long = "ab cd " * 450_000
+    rows = [(i, long if i == 1 else "rare wxyz", "aa") for i in range(1, 9)] + [(20 + i, "zyxw only once", "bb") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = df.where(langid.fold(F.col("doc_id")) != 0)
+    assert train.where("doc_id = 1").count() == 1 and train.where("text = 'rare wxyz'").count() > 0
+    grams = {r["gram"] for r in langid.counted(train).collect()}
+    model, few = langid.fit(df), langid.fit(df, min_share=1e-3)
+    want = langid.mix(np.array(sorted(grams), dtype=np.int64).view(np.uint64))
+    assert set(model.hashes[-1].tolist()) == set(want.tolist())
+    assert len(few.hashes[-1]) < len(model.hashes[-1])
+    for k in range(langid.ORDER - 1):
+        assert np.array_equal(few.hashes[k], model.hashes[k]) and np.array_equal(few.logp[k], model.logp[k])
+
+
 def test_counted_covers_all_texts(spark, docs, monkeypatch):
     monkeypatch.setattr(langid, "_MERGE", 64)
     want = Counter()
