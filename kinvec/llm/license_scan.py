@@ -24,7 +24,7 @@ FAMILIES = (
     ("agpl-3.0", "affero", "gnu affero general public license(?:,? (?:version|v) ?3(?:\\.0)?)?"),
     ("lgpl-2.1", "lesser", "gnu lesser general public license,? (?:version|v) ?2\\.1"),
     ("lgpl-3.0", "lesser", "gnu lesser general public license,? (?:version|v) ?3(?:\\.0)?"),
-    ("lgpl", "lesser", "gnu (?:lesser|library) general public license"),
+    ("lgpl", "general public", "gnu (?:lesser|library) general public license"),
     ("gpl-2.0", "general public", "gnu general public license,? (?:version|v) ?2(?:\\.0)?"),
     ("gpl-3.0", "general public", "gnu general public license,? (?:version|v) ?3(?:\\.0)?"),
     ("gpl", "general public", "(?:gnu )?general public license"),
@@ -91,7 +91,7 @@ FAMILIES = (
 FORMS = (
     (90, "licen", "(?:this|the) (?:work|file|program|software|code|document|library|project)[a-z ]{{0,20}} is (?:dual-?)?licensed under (?:the )?(?:terms of )?(?:the )?{}"),
     (80, "licensed under", "licensed under (?:the )?(?:terms of )?(?:the )?{}"),
-    (80, "released under", "(?:released|distributed|published|available) under (?:the )?(?:terms of )?(?:the )?{}"),
+    (80, " under ", "(?:released|distributed|published|available) under (?:the )?(?:terms of )?(?:the )?{}"),
     (60, "licen", "licen[cs]e(?: type)?\\s?[:=]\\s?(?:the )?{}"),
     (40, "", "(?<![a-z0-9]){}(?![a-z0-9])"),
 )
@@ -108,7 +108,7 @@ SINGLES = (
     ("isc", "permission to use, copy", 85, "permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose"),
     ("bsd", "redistribution and use", 85, "redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("zlib", "as-is", 70, "this software is provided 'as-is', without any express or implied warranty"),
-    ("warranty", "without warranty", 20, "without warrant(?:y|ies) (?:of any kind|or conditions of any kind)"),
+    ("warranty", "without warrant", 20, "without warrant(?:y|ies) (?:of any kind|or conditions of any kind)"),
     ("unlicense", "unencumbered", 85, "this is free and unencumbered software released into the public domain"),
     ("gpl", "free software foundation", 65, "as published by the free software foundation[;,]? ?(?:either )?version [23]"),
     ("cc-url", "creativecommons.org", 75, "creativecommons\\.org/(?:licenses|publicdomain)/[a-z-]+(?:/[0-9.]+)?"),

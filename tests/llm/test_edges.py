@@ -255,6 +255,45 @@ def test_license_rules(spark):
         assert any(stem in pattern.replace("[cs]e", "ce").replace("\\(c\\)", "(c)") or stem in key for stem in license_scan.STEMS), pattern
 
 
+def spelled(parsed):
+    """Texts that match a parsed expression: every alternative, optional part, member of a set (of a range its ends) once."""
+    out = [""]
+    for op, av in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            ways = [chr(av)]
+        elif kind == "IN":
+            ways = [w for o, v in av for w in ([chr(v)] if str(o) == "LITERAL" else [chr(v[0]), chr(v[1])] if str(o) == "RANGE" else [" "])]
+        elif kind == "SUBPATTERN":
+            ways = spelled(av[3])
+        elif kind == "BRANCH":
+            ways = [w for branch in av[1] for w in spelled(branch)]
+        elif kind == "MAX_REPEAT":
+            least, most, inner = av
+            ways = [""] * (least == 0) + [w * max(least, 1) for w in spelled(inner)]
+        else:
+            assert kind == "ASSERT_NOT", kind
+            continue
+        # each way with the first beginning, and each beginning with the first way: no product of all choices
+        out = [out[0] + w for w in ways] + [x + ways[-1] for x in out[1:]]
+    return out
+
+
+def test_every_license_rule_passes_its_keywords(spark):
+    bad = []
+    for label, key, also, _, pattern in license_scan.rules():
+        for text in spelled(re._parser.parse(pattern)):
+            assert re.search(pattern, text), (pattern, text)
+            if key not in text or also not in text or not any(stem in text for stem in license_scan.STEMS):
+                bad.append((label, key, also, text))
+    assert not bad, bad[:5]
+    df = spark.createDataFrame([(1, "Distributed under the MIT license."), (2, "the GNU Library General Public License"), (3, "without warranties or conditions of any kind")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
+    assert got[1]["labels"] == "mit" and abs(got[1]["score"] - 0.8) < 1e-9
+    assert got[2]["labels"] == "gpl,lgpl" and got[2]["n_detections"] == 1
+    assert got[3]["labels"] == "warranty"
+
+
 def test_langid(spark, docs, none):
     sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(sf.select("doc_id", "text", "lang"), calibration_docs=50)
