@@ -12,13 +12,15 @@ An empty signature tells nothing, and many sets would share it.  A set whose
 ranges are full enough (2 * ranges with at most one empty part > k) is met by a
 signature that is not empty, so only the few other sets emit empty ones.
 
-Sets of one signature are members of a group.  Groups are never expanded into
-all pairs: each set is verified against the first members of its groups (the
-three least of them); only in groups that this leaves in several components,
-the members of different components are compared by a bound of their difference
-(from 256 counts a set), and what passes it is verified exactly.  Such groups
-are compared in shares of bounded size, large ones block by block.  Exact copies
-are one set throughout.
+Sets of one signature meet, and each goes to the least of them, its pivot.  The
+sets of a pivot are compared exactly within a task, by an inverted index over
+their shingles and a union-find: a set asks for others only while some set of
+fitting size is in another component, and only the links that join two
+components leave the task.  The sets of a large pivot are cut into blocks of
+bounded size, each of them with the pivot; what that leaves in several
+components is compared block by block, where the blocks of a large component
+hold nothing else and are not compared with each other.  No pair is emitted but
+a link, and exact copies are one set throughout.
 """
 
 from __future__ import annotations
@@ -32,11 +34,8 @@ from . import exchange, runtime
 from .text import U64, Chunk, Rolling, Words, chunks, mix, ragged, utf8
 
 SHINGLE = 5
-COUNTS = 256
-STARS = 3
-MOST = 1 << 18
+SHARE, ROW = 1 << 19, 512
 _FLUSH = 1 << 19
-_NONE = -(2**63)
 
 
 def shingles(part: Chunk, length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -121,19 +120,20 @@ def signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.nda
 
 
 def sets(documents: DataFrame) -> DataFrame:
-    """(doc_id, n, sid) of each row."""
+    """(doc_id, t, n, sid) of each row (doc_id, text, t)."""
 
     def each(batches):
         for batch in batches:
-            for part in chunks(batch.column(1)):
+            for part in chunks(batch.column(2)):
                 size, sid = set_ids(*shingles(part), len(part))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.rows.start, len(part)), pa.array(size.astype(np.int64)), pa.array(sid)], names=["doc_id", "n", "sid"])
+                own = [batch.column(i).slice(part.rows.start, len(part)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(size.astype(np.int64)), pa.array(sid)], names=["doc_id", "t", "n", "sid"])
 
-    return documents.select("doc_id", "text").mapInArrow(runtime.task(each), "doc_id long, n long, sid long")
+    return documents.select("doc_id", "t", "text").mapInArrow(runtime.task(each), "doc_id long, t long, n long, sid long")
 
 
-def groups(documents: DataFrame) -> DataFrame:
-    """(g, rep, sid): distinct lists of sets that share a signature; rep: the least of the list."""
+def pivoted(documents: DataFrame) -> DataFrame:
+    """(pivot, sid), distinct: sets that share a signature with others, at the least set that has it."""
     buckets = 2 * runtime.parts(documents.sparkSession)
 
     def sign(batches):
@@ -181,160 +181,155 @@ def groups(documents: DataFrame) -> DataFrame:
             heads, length = heads[length > 1], length[length > 1]
             if not len(heads):
                 continue
-            total = np.append(U64(0), np.cumsum(mix(sid.view(U64)), dtype=U64))
-            g = mix(total[heads + length] - total[heads])
-            _, one = np.unique(g, return_index=True)  # equal lists in this bucket are one
-            heads, length, g = heads[one], length[one], g[one]
-            for i in range(0, len(heads), 50_000):
-                a, n, own = heads[i : i + 50_000], length[i : i + 50_000], g[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n).view(np.int64)), pa.array(np.repeat(sid[a], n)), pa.array(sid[ragged(a, n)])], names=["g", "rep", "sid"])
+            pivot, sid = np.repeat(sid[heads], length), sid[ragged(heads, length)]
+            order = np.lexsort((sid, pivot))
+            pivot, sid = pivot[order], sid[order]
+            new = np.ones(len(sid), dtype=bool)
+            new[1:] = (pivot[1:] != pivot[:-1]) | (sid[1:] != sid[:-1])
+            pivot, sid = pivot[new], sid[new]
+            for i in range(0, len(sid), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(pivot[i : i + 100_000]), pa.array(sid[i : i + 100_000])], names=["pivot", "sid"])
 
     packed = documents.select("text").mapInArrow(runtime.task(sign), exchange.PACKED)
-    return exchange.gathered(packed).mapInArrow(runtime.task(meet), "g long, rep long, sid long")
+    return exchange.gathered(packed).mapInArrow(runtime.task(meet), "pivot long, sid long").distinct()
 
 
 def _contents(documents: DataFrame) -> DataFrame:
-    """(sid, n, counts, shingles) of documents (text)."""
+    """(sid, n, shingles) of documents (text)."""
 
     def each(batches):
         for batch in batches:
             for part in chunks(batch.column(0)):
                 row, h = shingles(part)
                 size, sid = set_ids(row, h, len(part))
-                counts = np.bincount(row * COUNTS + (h & U64(COUNTS - 1)).astype(np.int64), minlength=len(part) * COUNTS)
-                counts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, COUNTS)
                 end = np.cumsum(size)
                 raw = h.astype("<u8")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sid), pa.array(size.astype(np.int64)), pa.array([c.tobytes() for c in counts], pa.binary()), pa.array([raw[e - n : e].tobytes() for e, n in zip(end.tolist(), size.tolist(), strict=True)], pa.binary())],
-                    names=["sid", "n", "counts", "shingles"],
+                    [pa.array(sid), pa.array(size.astype(np.int64)), pa.array([raw[e - n : e].tobytes() for e, n in zip(end.tolist(), size.tolist(), strict=True)], pa.binary())],
+                    names=["sid", "n", "shingles"],
                 )
 
-    return documents.mapInArrow(runtime.task(each), "sid long, n long, counts binary, shingles binary")
+    return documents.mapInArrow(runtime.task(each), "sid long, n long, shingles binary")
 
 
-def _possible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Whether sets with these counts may have Jaccard 0.8: their difference is at least that of their counts."""
-    return 9 * np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=-1) <= n + m
+def joining(h: np.ndarray, n: np.ndarray, c: np.ndarray, asking: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that join components c: every set in `asking` meets all others.
 
+    h: the shingles of all sets, one set after another, n of each.  After these
+    links two sets are in one component if any set that asked links them.
+    """
+    own = np.repeat(np.arange(len(n)), n)
+    order = np.argsort(h, kind="stable")
+    owner = own[order]
+    head = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+    length = np.diff(np.append(head, len(h)))
+    run = np.empty(len(h), dtype=np.int64)  # of each shingle, the run of equal ones
+    run[order] = np.repeat(np.arange(len(head)), length)
+    begin = np.cumsum(n) - n
+    _, root = np.unique(c, return_inverse=True)
+    a, b = [], []
+    for i in asking[np.argsort(-n[asking], kind="stable")].tolist():
+        fit = (5 * n >= 4 * n[i]) & (4 * n <= 5 * n[i]) & (root != root[i])
+        if not fit.any():
+            continue
+        runs = run[begin[i] : begin[i] + n[i]]
+        runs = runs[np.argsort(length[runs], kind="stable")]
+        # a similar set has at least 4/5 of the shingles, so one of the rarest fifth and one more
+        rare = runs[: n[i] - (4 * n[i] + 4) // 5 + 1]
+        if not fit[owner[ragged(head[rare], length[rare])]].any():
+            continue
+        both = np.bincount(owner[ragged(head[runs], length[runs])], minlength=len(n))
+        linked = np.flatnonzero(fit & (100 * both >= 80 * (n[i] + n - both)))
+        kinds, one = np.unique(root[linked], return_index=True)
+        if len(kinds):
+            a += [i] * len(kinds)
+            b += linked[one].tolist()
+            root[np.isin(root, kinds)] = root[i]
+    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
-def verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those with 100 * intersection >= 80 * union."""
-    brief = contents.select("sid", "n", "counts")
 
-    def may(batches):
-        for batch in batches:
-            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            x = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, COUNTS)
-            y = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, COUNTS)
-            yield pa.RecordBatch.from_struct_array(batch.select(["a", "b"]).to_struct_array()).filter(pa.array(_possible(x, y, n, m)))
+def _links(rows: DataFrame) -> DataFrame:
+    """(a, b): the links that join components within each share of rows (share, side, c, sid, n, shingles).
 
-    def linked(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= 80 * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    sized = pairs.join(brief.select(F.col("sid").alias("a"), F.col("n").alias("n"), F.col("counts").alias("x")), "a").join(brief.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("counts").alias("y")), "b")
-    sized = sized.where("5 * least(n, m) >= 4 * greatest(n, m)").select("a", "b", "n", "m", "x", "y")
-    left = runtime.written(sized.mapInArrow(runtime.task(may), "a long, b long"), "pairs")
-    both = left.join(contents.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b").join(contents.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(runtime.task(linked), "a long, b long")
-
-
-def dealt(members: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
-    """(deal, unit, across, side, sid, c): members of the groups left in several components, in shares of bounded size.
-
-    Groups of one first member are dealt together, as many pairs are in several
-    of them, but one of more than `most` rows is dealt in several shares.  A
-    group of more than `most` members is cut into blocks by hash, and each two
-    blocks (or one with itself) are a unit; `across`: only pairs of two sides count.
+    side 0 and 1: only sets of different sides meet; 2: all sets do.  A share
+    is of bounded size, and a task holds one at a time.
     """
-    labelled = members.join(labels.withColumnRenamed("id", "sid"), "sid", "left").select("g", "rep", "sid", F.coalesce("component", "sid").alias("c"))
-    several = labelled.groupBy("g").agg(F.min("rep").alias("rep"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-    blocks = F.ceil(F.col("m") / most)
-    several = runtime.written(several.select("g", "rep", "m", blocks.alias("blocks")), "several")
-    heavy = several.groupBy("rep").agg(F.ceil(F.sum(F.col("m") * F.col("blocks")) / most).alias("shares"))
-    several = several.join(heavy, "rep").select("g", "blocks", F.pmod(F.xxhash64("g"), "shares").alias("share"))
-    own = F.pmod(F.xxhash64("sid", F.lit(7)), "blocks")
-    rows = labelled.join(several, "g").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    i, j = F.least("side", "other"), F.greatest("side", "other")
-    unit = F.when(F.col("blocks") == 1, F.col("g")).otherwise(F.xxhash64("g", i, j))
-    return rows.select(F.xxhash64("rep", "share", i, j).alias("deal"), unit.alias("unit"), (i < j).alias("across"), F.col("side").cast("long").alias("side"), "sid", "c")
-
-
-def residual(members: DataFrame, labels: DataFrame, contents: DataFrame, most: int = MOST) -> DataFrame:
-    """Pairs (a, b) of a group's members in different components that may be similar."""
-    rows = dealt(members, labels, most).join(contents.select("sid", "n", "counts"), "sid")
-
-    def within(batches):
-        def pairs(sid, c, side, across, n, x):
-            order = np.argsort(n, kind="stable")
-            sid, c, side, n, x = sid[order], c[order], side[order], n[order], x[order]
-            limit = np.searchsorted(n, n * 5 // 4, side="right")
-            for i in range(0, len(n), 128):
-                j = int(limit[min(i + 128, len(n)) - 1])
-                for at in range(i, j, 128):
-                    u, v = slice(i, min(i + 128, len(n))), slice(at, min(at + 128, j))
-                    ok = (c[u][:, None] != c[v][None]) & (np.arange(u.start, u.stop)[:, None] < np.arange(v.start, v.stop)[None])
-                    if across:
-                        ok &= side[u][:, None] != side[v][None]
-                    p, q = np.nonzero(ok)
-                    fine = _possible(x[u][p], x[v][q], n[u][p], n[v][q])
-                    p, q = sid[u][p[fine]], sid[v][q[fine]]
-                    yield np.minimum(p, q), np.maximum(p, q)
-
-        def once(found):
-            out = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], names=["a", "b"])
-
-        def split(table):
-            """All units of some shares: a pair of several of these units is emitted once, or once each _FLUSH / 2 distinct pairs."""
-            if not table.num_rows:
-                return
-            unit, sid, c, side, across, n = [table[k].to_numpy() for k in ("unit", "sid", "c", "side", "across", "n")]
-            data, offsets = utf8(table["counts"])
-            x = data[offsets[0] : offsets[-1]].reshape(-1, COUNTS)
-            edges = np.flatnonzero(np.append(True, unit[1:] != unit[:-1])).tolist() + [len(unit)]
-            found: list[np.ndarray] = []
-            size = 0
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                for p, q in pairs(sid[a:b], c[a:b], side[a:b], bool(across[a]), n[a:b], x[a:b]):
-                    found.append(np.stack([p, q], axis=1))
-                    size += len(p)
-                    if size > _FLUSH:
-                        found = [np.unique(np.concatenate(found), axis=0)]
-                        size = len(found[0])
-                        if size > _FLUSH // 2:
-                            yield once(found)
-                            found, size = [], 0
-            if size:
-                yield once(found)
-
-        kept: list[pa.Table] = []
+
+    def one(table: pa.Table):
+        sid, n, c, side = [table[k].to_numpy() for k in ("sid", "n", "c", "side")]
+        if len(sid) > 1 and (c != c[0]).any():
+            data, offsets = utf8(table["shingles"])
+            h = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), "<u8")
+            asking = np.arange(len(sid))
+            if side[0] < 2:
+                asking = np.flatnonzero(side == int((side == 1).sum() < (side == 0).sum()))
+            i, j = joining(h, n, c, asking)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[i], sid[j])), pa.array(np.maximum(sid[i], sid[j]))], names=["a", "b"])
+
+    def each(batches):
+        kept: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            got, deal = pa.Table.from_batches([batch]), batch.column(0).to_numpy()
-            if kept and deal[0] != kept[-1]["deal"][-1].as_py():
-                yield from split(pa.concat_tables(kept))
-                kept = []
-            cut = int(np.argmax(deal == deal[-1]))
-            if cut:
-                yield from split(pa.concat_tables([*kept, got.slice(0, cut)]))
-                kept = []
-            kept.append(got.slice(cut))
+            key = batch.column(0).to_numpy()
+            edges = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist() + [len(key)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b == a:
+                    continue
+                if key[a] != last and kept:
+                    yield from one(pa.Table.from_batches(kept))
+                    kept = []
+                last = key[a]
+                kept.append(batch.slice(a, b - a))
         if kept:
-            yield from split(pa.concat_tables(kept))
+            yield from one(pa.Table.from_batches(kept))
+
+    spread = rows.select("share", "side", "c", "sid", "n", "shingles").repartition(runtime.parts(rows.sparkSession), "share").sortWithinPartitions("share")
+    return spread.mapInArrow(runtime.task(each), "a long, b long")
+
 
-    spread = rows.select("deal", "unit", "across", "side", "sid", "c", "n", "counts").repartition(runtime.parts(rows.sparkSession), "deal").sortWithinPartitions("deal", "unit")
-    return spread.mapInArrow(runtime.task(within), "a long, b long").distinct()
+def first_shares(members: DataFrame, share: int = SHARE) -> DataFrame:
+    """(share, side, c, sid): each pivot's sets (pivot, sid, n) in blocks of about `share`, the pivot in all of them."""
+    weight = F.sum(F.col("n") + ROW)
+    blocks = members.groupBy("pivot").agg(F.ceil(weight / share).alias("blocks"))
+    rows = members.join(blocks, "pivot")
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    block = F.explode(F.when(F.col("pivot") == F.col("sid"), every).otherwise(F.array(F.pmod(F.xxhash64("sid", F.lit(9)), "blocks"))))
+    rows = rows.select("pivot", "sid", block.alias("block"))
+    return rows.select(F.xxhash64("pivot", "block").alias("share"), F.lit(2).alias("side"), F.col("sid").alias("c"), "sid")
 
 
-def join(documents: DataFrame) -> DataFrame:
+def second_shares(members: DataFrame, labels: DataFrame, share: int = SHARE) -> DataFrame:
+    """(share, side, c, sid): two blocks each, of the pivots of more than one block that are left in several components.
+
+    A component of at least half a block has blocks of its own, which do not
+    meet each other; the others are dealt together by component, and their
+    blocks meet all blocks and themselves.
+    """
+    large = members.groupBy("pivot").agg(F.sum(F.col("n") + ROW).alias("w")).where(F.col("w") > share).select("pivot")
+    rows = members.join(large, "pivot", "left_semi").join(labels.withColumnRenamed("id", "sid"), "sid", "left").select("pivot", "sid", "n", F.coalesce("component", "sid").alias("c"))
+    rows = runtime.written(rows, "left")
+    kinds = rows.groupBy("pivot", "c").agg(F.sum(F.col("n") + ROW).alias("w"))
+    several = kinds.groupBy("pivot").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum(F.when(F.col("w") < share / 2, F.col("w")).otherwise(0)).alias("mixed")).where("lo <> hi")
+    pure = F.col("w") >= share / 2
+    kinds = kinds.join(several.select("pivot", F.greatest(F.lit(1), F.ceil(F.col("mixed") / share)).alias("bins")), "pivot")
+    kinds = kinds.select("pivot", "c", pure.alias("pure"), F.when(pure, F.ceil(F.col("w") / share)).otherwise(F.col("bins")).alias("blocks"))
+    # a block's name; of a pure block also its component
+    bin_ = F.pmod(F.xxhash64("c", F.lit(3)), "blocks")
+    numbers = F.explode(F.when(F.col("pure"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(bin_))).alias("i")
+    own = F.when(F.col("pure"), F.xxhash64("c", "i")).otherwise(F.xxhash64("i"))
+    named = kinds.select("pivot", "c", "pure", numbers).select("pivot", own.alias("block"), F.when(F.col("pure"), F.col("c")).alias("of")).distinct()
+    # as many as a pivot has blocks: its size by that of a share
+    met = named.groupBy("pivot").agg(F.collect_list(F.struct("block", "of")).alias("met"))
+    i = F.when(F.col("pure"), F.pmod(F.xxhash64("sid", F.lit(5)), "blocks")).otherwise(bin_)
+    rows = rows.join(kinds, ["pivot", "c"]).withColumn("i", i).withColumn("block", own).join(met, "pivot")
+    rows = rows.withColumn("other", F.explode(F.filter("met", lambda m: m["of"].isNull() | ~F.col("pure") | (m["of"] != F.col("c")))))
+    b, o = F.col("block"), F.col("other.block")
+    side = F.when(b == o, 2).when(b < o, 0).otherwise(1)
+    return rows.select(F.xxhash64("pivot", F.least(b, o), F.greatest(b, o)).alias("share"), side.alias("side"), "c", "sid")
+
+
+def join(documents: DataFrame, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id for every document.
 
     Linked: 100 * intersection >= 80 * union of shingle sets, both not empty.
@@ -343,27 +338,24 @@ def join(documents: DataFrame) -> DataFrame:
     fewer than five words is one shingle; rows repeated with one doc_id are each
     returned.
     """
-    docs = runtime.plain(documents, doc_id="long", text="string")
+    docs = runtime.plain(documents, doc_id="long", text="string").withColumn("t", F.xxhash64("text"))
     each = runtime.written(sets(docs), "sets")
-    own = each.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc"))
-    members = runtime.written(groups(docs).dropDuplicates(["g", "sid"]), "groups")
-
-    wanted = members.select("sid").distinct().join(own, "sid").select(F.col("doc").alias("doc_id")).distinct()
-    contents = runtime.written(_contents(docs.join(wanted, "doc_id", "left_semi").select("text")).dropDuplicates(["sid"]), "contents")
-    # a set is in at most as many groups as it has signatures, so the collected set is bounded by its text
-    near = members.where("rep <> sid").groupBy("sid").agg(F.slice(F.array_sort(F.collect_set("rep")), 1, STARS).alias("reps"))
-    stars = runtime.written(near.select(F.explode("reps").alias("a"), F.col("sid").alias("b")), "stars")
-    links = runtime.written(verified(stars, contents), "links")
-    labels = runtime.components(links, "near")
-    rest = runtime.written(residual(members, labels, contents), "rest")
-    more = verified(rest.join(stars, ["a", "b"], "left_anti"), contents)
-    links = runtime.written(links.union(more), "links")
+    own = each.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.min("t").alias("t"), F.min("n").alias("n"))
+    members = runtime.written(pivoted(docs).join(own.select("sid", "n"), "sid"), "members")
+
+    wanted = members.select("sid").distinct().join(own, "sid").select("t").distinct()
+    contents = runtime.written(_contents(docs.join(wanted, "t", "left_semi").select("text")).dropDuplicates(["sid"]), "contents")
+    links = runtime.written(_links(first_shares(members, share).join(contents, "sid")), "links")
     labels = runtime.components(links, "near")
-    runtime.dropped(members, contents, rest, stars)
+    more = runtime.written(_links(second_shares(members, labels, share).join(contents, "sid")), "links")
+    if more.limit(1).count():
+        links = links.union(more)
+        labels = runtime.components(links, "near")
+    runtime.dropped(members, contents)
 
     least = own.join(labels.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "doc", F.coalesce("component", "sid").alias("c"))
     first = least.groupBy("c").agg(F.min("doc").alias("component_id"))
-    named = least.join(first, "c").where("component_id <> doc").select("sid", "component_id")
+    named = least.join(first, "c").where("not component_id <=> doc").select("sid", "component_id")
     # sets of several documents, or linked ones: all others are their own
     copies = each.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("m")).where("m > 1").select("sid", F.col("component_id").alias("copy_of"))
     return each.join(copies, "sid", "left").join(named, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "copy_of", "doc_id").alias("component_id"))

@@ -153,28 +153,66 @@ def test_every_similar_pair_shares_a_signature():
                 assert set(s[row == 0]) & set(s[row == 1])
 
 
-def test_residual_in_shares_and_blocks(spark):
-    base = [prose(60).split() for _ in range(3)]
-    own = [" ".join(b[:k] + ["other"] + b[k:]) for b in base for k in range(0, 60, 5)]
-    contents = ngram_join._contents(spark.createDataFrame([(t,) for t in own], "text string").coalesce(1)).cache()
-    rows = {r["sid"]: (r["n"], np.frombuffer(r["counts"], np.uint8)) for r in contents.collect()}
-    sids = sorted(rows)
-    # one group of all sets, two smaller ones of the same first member, one wholly in one component
-    lists = {1: sids, 2: sids[:9], 3: sids[:1] + sids[20:], 4: sids[4:6]}
-    label = {s: sids[0] if i < 8 else sids[8] if i < 16 else s for i, s in enumerate(sids)}
-    members = spark.createDataFrame([(g, x[0], s) for g, x in lists.items() for s in x], "g long, rep long, sid long")
-    labels = spark.createDataFrame([(s, c) for s, c in label.items() if s != c or s in (sids[0], sids[8])], "id long, component long")
-    want = {
-        (a, b) for x in lists.values() for a in x for b in x
-        if a < b and label[a] != label[b] and 5 * min(rows[a][0], rows[b][0]) >= 4 * max(rows[a][0], rows[b][0])
-        and ngram_join._possible(rows[a][1], rows[b][1], rows[a][0], rows[b][0])
-    }
-    assert want
-    for most in (3, 10, 4096):
-        shares = ngram_join.dealt(members, labels, most).groupBy("unit").count().agg({"count": "max"}).first()[0]
-        assert shares <= len(sids) if most > 10 else shares < len(sids)
-        got = [(r["a"], r["b"]) for r in ngram_join.residual(members, labels, contents, most).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
+def brute_components(own):
+    """(size, least id reachable) of rows (id, text), by all pairs."""
+    sets = {}
+    for i, t in own:
+        w = [x.lower() for x in words_of(t)]
+        sets[i] = frozenset(tuple(w[a : a + 5]) for a in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                lo, hi = sorted((find(i), find(j)))
+                parent[hi] = lo
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def near_clusters():
+    """Two clusters of texts with one to three words changed, and texts that only share a passage."""
+    out = []
+    for _ in range(2):
+        base = prose(70).split()
+        for k in range(45):
+            own = list(base)
+            for at in RNG.sample(range(len(own)), 1 + k % 3):
+                own[at] = f"z{RNG.randrange(10**6)}"
+            out.append(" ".join(own))
+    passage = prose(40)
+    return out + [passage + " " + prose(30) for _ in range(20)]
+
+
+def test_shares_of_any_size_lose_no_link(spark):
+    own = [(500 - i, t) for i, t in enumerate(near_clusters())]
+    want = brute_components(own)
+    assert len({c for _, c in want.values()}) < len(own) - 20
+    df = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
+    for share in (2_000, 8_000, ngram_join.SHARE):
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(df, share).collect()} == want
+
+
+def test_only_joining_links_leave_a_share():
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(1, 2**63, 400).astype(np.uint64))
+    sets = [np.unique(np.append(base[rng.random(len(base)) > 0.04], rng.integers(1, 2**63, 5).astype(np.uint64))) for _ in range(60)]
+    n = np.array([len(s) for s in sets])
+    h = np.concatenate(sets)
+    near = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+    for c in (np.arange(60), np.arange(60) // 20):
+        a, b = ngram_join.joining(h, n, c, np.arange(60))
+        assert len(a) == len(np.unique(c)) - 1 and all(near(i, j) for i, j in zip(a, b, strict=True))
+
+
+def test_a_null_id_is_linked(spark):
+    a, b = near_clusters()[:2]
+    rows = {r["doc_id"]: r["component_id"] for r in ngram_join.join(spark.createDataFrame([(None, a), (7, a), (9, a + " more")], "doc_id long, text string")).collect()}
+    assert rows == {None: 7, 7: 7, 9: 7}
 
 
 def test_packing(docs, none):
