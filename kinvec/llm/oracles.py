@@ -32,12 +32,12 @@ p AS (
   SELECT doc_id, i, list_aggregate(ws[i : i + 19], 'string_agg', ' ') AS win
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
 f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS r FROM p),
-gone AS (SELECT DISTINCT doc_id, i + j AS at FROM f, (SELECT unnest(range(0, 20)) AS j) WHERE r > 1),
-gone2 AS (SELECT doc_id, list(at) AS ats, count(*) AS n FROM gone GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS pos FROM f, (SELECT unnest(range(0, 20)) AS j) WHERE r > 1),
+gone2 AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
 k AS (
-  SELECT w.doc_id, list_aggregate(list(x ORDER BY at), 'string_agg', ' ') AS kept
-  FROM (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS at FROM w) w
-  LEFT JOIN gone g USING (doc_id, at) WHERE g.at IS NULL GROUP BY w.doc_id)
+  SELECT w.doc_id, list_aggregate(list(x ORDER BY pos), 'string_agg', ' ') AS kept
+  FROM (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS pos FROM w) w
+  LEFT JOIN gone g USING (doc_id, pos) WHERE g.pos IS NULL GROUP BY w.doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM w LEFT JOIN gone2 g USING (doc_id) LEFT JOIN k USING (doc_id)
 """

@@ -2,13 +2,16 @@
 
 A byte goes when a string of 200 bytes that covers it also starts elsewhere.
 
+Copies.  Equal texts are one from the start: rows whose text occurs again lose
+all of it (from 200 bytes on), and one of them stands for all in what follows.
+
 Candidates.  Every 200-byte string holds 161 substrings of 40 bytes; the one of
 least hash (leftmost) is its anchor, so equal strings have equal anchors at the
 same place.  Consecutive starts with one anchor form a block.  Blocks whose
-anchor occurs once hold no repeat; equal blocks are repeats throughout and are
-one block from then on; what is left are the different blocks of one anchor.
+anchor occurs once hold no repeat; of the others each distinct block goes to the
+merge once, with the number of its places.
 
-Merging.  Those blocks are strings of at most 360 bytes.  A task cuts them into
+Merging.  Blocks are strings of at most 360 bytes.  A task cuts them into
 shards, each with its own suffix array and transform.  The alphabet is that of
 8-byte words: the suffix after p is p + 8, so a string has 8 interleaved chains
 and 200 bytes are 25 symbols.  Refinement starts with the shards one after
@@ -17,11 +20,14 @@ deals the interleave stably by the transforms' symbols, so after r rounds it is
 ordered by 8 r bytes, and neighbours that differ in symbol or came from
 different intervals start a new interval: their common prefix is below 8 r.
 Suffixes alone in their interval leave: their predecessors are alone one round
-later.  After 25 rounds the intervals left are the strings of 200 bytes that
-occur more than once.  Suffixes are sorted within shards only.
-
-An anchor with very many different blocks (`hot`) does not go to one task: its
-200-byte strings are counted by hash (128 bits) with partial aggregation.
+later.  A block of several places is
+repeated by itself and stays.  After 25 rounds the intervals left are the
+strings of 200 bytes that occur more than once, and every mark comes from one.
+Suffixes are sorted within shards only.
+
+An anchor with very many different blocks is not one task's work: its blocks are
+cut again by anchors of 120 bytes, and where that leaves too many, of 200, each
+time only those whose anchor occurs again going on to the same merge.
 """
 
 from __future__ import annotations
@@ -34,24 +40,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
-from .substring_dedup import keyed, spans_of, with_marks
+from .substring_dedup import spans_of
 from .text import U64, Chunk, Rolling, byte_codes, chunks, ragged, sliding_min, union_spans
 
-LENGTH, ANCHOR, WORD = 200, 40, 8
-SHARD_BYTES, MERGE_BYTES, HOT = 1 << 18, 1 << 20, 4096
+LENGTH, ANCHORS, WORD = 200, (40, 120, 200), 8
+SHARD_BYTES, MERGE_BYTES, CROWD = 1 << 18, 1 << 21, 4096
+SEGMENT = 1 << 22
 _PLACE = U64((1 << 28) - 1)
 _OTHER = 0xD6E8FEB86659FD93
-_MARKS = "k long, h long, start long, n long"
+_KEY = ["h", "h2"]
+_MARKS = "anchor long, block long, at long, n long"
 
 
-def blocks(part: Chunk, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(row, first start, number of starts, anchor's hash, block's hash) of all blocks; starts within the chunk."""
+def blocks(part: Chunk, length: int = LENGTH, anchor: int = ANCHORS[0], segment: int = SEGMENT) -> tuple[np.ndarray, ...]:
+    """(row, first start, number of starts, anchor's hash, block's hash) of all blocks; starts within the chunk.
+
+    A chunk of one long text is taken in segments, at whose ends blocks end too.
+    """
+    if len(part) == 1 and len(part.data) >= segment + length:
+        out = []
+        for at in range(0, len(part.data) - length + 1, segment):
+            data = part.data[at : at + segment + length - 1]
+            row, first, *rest = blocks(Chunk(data, np.array([0, len(data)]), part.rows), length, anchor, len(data))
+            out.append((row, first + at, *rest))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
     size = np.diff(part.offsets)
     starts = ragged(part.offsets[:-1], np.maximum(size - length + 1, 0))
     if not len(starts):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    rolling = Rolling(byte_codes()[part.data])
-    grams = rolling.windows(anchor)
+        return tuple(np.empty(0, np.int64) for _ in range(5))
+    codes = byte_codes()[part.data]
+    grams = Rolling(codes).windows(anchor)
     least = sliding_min((grams & ~_PLACE) | np.arange(len(grams), dtype=U64), length - anchor + 1)[starts] & _PLACE
     head = np.ones(len(starts), dtype=bool)
     head[1:] = (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)
@@ -59,22 +77,23 @@ def blocks(part: Chunk, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.
     n = np.diff(np.append(heads, len(starts)))
     first = starts[heads]
     row = np.searchsorted(part.offsets, first, side="right") - 1
-    return row, first, n, grams[least[heads].astype(np.int64)].view(np.int64), rolling.ranges(first, first + n + length - 1).view(np.int64)
+    own = Rolling(codes, _OTHER).ranges(first, first + n + length - 1)
+    return row, first, n, grams[least[heads].astype(np.int64)].view(np.int64), own.view(np.int64)
 
 
-def anchored(documents: DataFrame) -> DataFrame:
-    """(anchor, block, k, h, start, n): all blocks of keyed documents, starts within the document."""
+def anchored(texts: DataFrame) -> DataFrame:
+    """(anchor, block, h, h2, start, n): all blocks of texts (h, h2, text), starts within the text."""
 
     def each(batches):
         for batch in batches:
-            k, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            h, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for part in chunks(batch.column(2)):
                 row, first, n, anchor, block = blocks(part)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(block), pa.array(k[part.rows][row]), pa.array(h[part.rows][row]), pa.array(first - part.offsets[row]), pa.array(n)], names=["anchor", "block", "k", "h", "start", "n"]
+                    [pa.array(anchor), pa.array(block), pa.array(h[part.rows][row]), pa.array(h2[part.rows][row]), pa.array(first - part.offsets[row]), pa.array(n)], names=["anchor", "block", "h", "h2", "start", "n"]
                 )
 
-    return documents.select("k", "h", "text").mapInArrow(runtime.task(each), "anchor long, block long, k long, h long, start long, n long")
+    return texts.select("h", "h2", "text").mapInArrow(runtime.task(each), "anchor long, block long, h long, h2 long, start long, n long")
 
 
 class Shard:
@@ -127,34 +146,43 @@ def words_of(data: np.ndarray, size: np.ndarray) -> np.ndarray:
     return symbol
 
 
-def merged(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def merged(shards: list[Shard], rounds: int, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Interleave refinement of the shards' transforms for that many symbols.
 
-    Returns the suffixes that share them with another (numbered by shard and
-    rank within it, in merged order) and the interval of each.
+    Suffixes are numbered by shard and rank within it.  Returns those that share
+    their first symbols with another or are `often` (stand for several), in
+    merged order, the interval of each, and for every suffix how many symbols it
+    has in common with the one before it in merged order (at most `rounds`).
     """
     transform = np.concatenate([s.transform for s in shards])
     offset = np.cumsum([0] + [len(s.order) for s in shards])
     last_to_first = np.concatenate([s.last_to_first + o for s, o in zip(shards, offset, strict=False)])
     interleave = np.arange(len(transform))
     interval = np.zeros(len(transform), dtype=np.int64)
-    for _ in range(rounds):
+    common = np.zeros(len(transform), dtype=np.int64)
+    for done in range(rounds):
         symbol = transform[interleave]
         deal = np.sort(symbol << 32 | np.arange(len(symbol))) & 0xFFFFFFFF
         symbol, interval = symbol[deal], interval[deal]
         interleave = last_to_first[interleave[deal]]
         new = np.ones(len(symbol) + 1, dtype=bool)
         new[1:-1] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
+        common[interleave[~new[:-1]]] = done + 1
         keep = ~(new[:-1] & new[1:])
+        if often is not None:
+            keep |= often[interleave]
         interval = (np.cumsum(new[:-1]) - 1)[keep]
         interleave = interleave[keep]
         if not len(interleave):
             break
-    return interleave, interval
+    return interleave, interval, common
 
 
-def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """(string, place) of every substring of that length (a multiple of 8) that occurs more than once in strings."""
+def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHARD_BYTES, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(string, place) of every substring of that length (a multiple of 8) that occurs more than once in strings.
+
+    places: how many times each string stands; once each if not given.
+    """
     size = np.fromiter(map(len, strings), np.int64, len(strings))
     symbol = words_of(np.frombuffer(b"".join(strings), np.uint8), size)
     nodes = np.cumsum(size + 1)
@@ -163,26 +191,25 @@ def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHAR
     shards, first = [], np.append(0, nodes)
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         shards.append(Shard(symbol[first[a] : first[b]], size[a:b]))
-    at, _ = merged(shards, length // WORD)
     starts = np.cumsum([0] + [len(s.order) for s in shards])
     order = np.concatenate([s.order + o for s, o in zip(shards, starts, strict=False)])
+    of = np.repeat(np.arange(len(size)), size + 1)
+    often = None if places is None else (places[of] > 1)[order]
+    at, _, _ = merged(shards, length // WORD, often)
     node = np.sort(order[at])
-    string = np.searchsorted(nodes, node, side="right")
-    return string, node - first[string]
+    node = node[node - first[of[node]] <= (size - length)[of[node]]]  # often and too near the end
+    return of[node], node - first[of[node]]
 
 
 def _merge(batches):
-    """Rows (anchor, k, h, start, done, bytes) sorted by anchor: marks of the blocks that are not done."""
+    """Rows (anchor, block, places, bytes) sorted by anchor: marks of the blocks, by the merge of their shards."""
     kept: list[pa.RecordBatch] = []
     size = 0
 
     def settle(table: pa.Table):
-        if table.num_rows < 2:
+        if not table.num_rows:
             return
-        string, place = repeated(table["bytes"].to_pylist())
-        done = table["done"].to_numpy()
-        keep = ~done[string]
-        string, place = string[keep], place[keep]
+        string, place = repeated(table["bytes"].to_pylist(), places=table["places"].to_numpy())
         if not len(string):
             return
         head = np.ones(len(string), dtype=bool)
@@ -190,7 +217,7 @@ def _merge(batches):
         heads = np.flatnonzero(head)
         n = np.diff(np.append(heads, len(string)))
         s = string[heads]
-        yield pa.RecordBatch.from_arrays([table["k"].combine_chunks().take(pa.array(s)), table["h"].combine_chunks().take(pa.array(s)), pa.array(table["start"].to_numpy()[s] + place[heads]), pa.array(n)], names=["k", "h", "start", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(table["anchor"].to_numpy()[s]), pa.array(table["block"].to_numpy()[s]), pa.array(place[heads]), pa.array(n)], names=["anchor", "block", "at", "n"])
 
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
@@ -209,72 +236,110 @@ def _merge(batches):
         yield from settle(pa.Table.from_batches(kept).combine_chunks())
 
 
-def _strings(batches):
-    """(w1, w2, k, h, start) of every 200-byte string of the blocks."""
-    for batch in batches:
-        k, h, start = (batch.column(c).to_numpy() for c in ("k", "h", "start"))
-        for part in chunks(batch.column("bytes")):
-            size = np.diff(part.offsets) - LENGTH + 1
-            at = ragged(part.offsets[:-1], size)
-            row = np.repeat(np.arange(len(part)), size)
-            codes = byte_codes()[part.data]
-            w1, w2 = Rolling(codes).windows(LENGTH)[at], Rolling(codes, _OTHER).windows(LENGTH)[at]
-            own = slice(part.rows.start, part.rows.stop)
-            yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(k[own][row]), pa.array(h[own][row]), pa.array(start[own][row] + at - part.offsets[row])], names=["w1", "w2", "k", "h", "start"])
-
-
-def marks(documents: DataFrame, hot: int = HOT) -> DataFrame:
-    """(k, h, start, n): n consecutive starts of repeated 200-byte strings."""
-    parts = runtime.parts(documents.sparkSession)
-    every = runtime.written(anchored(documents), "anchors")
-    several = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("block").alias("lo"), F.max("block").alias("hi")).where("c > 1")
-    every2 = runtime.written(every.join(several.select("anchor", (F.col("lo") != F.col("hi")).alias("differ")), "anchor"), "anchors")
-    runtime.dropped(every)
-    kinds = every2.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "h", "start", "n")).alias("one"), F.first("differ").alias("differ"))
-    kinds = runtime.written(kinds, "blocks")
-    equal = every2.join(kinds.where("c > 1").select("anchor", "block"), ["anchor", "block"], "left_semi").select("k", "h", "start", "n")
+def _again(level: int):
+    """Rows (anchor, block, places, bytes) cut by the anchors of a level: sub-blocks with their bytes and place in the block."""
 
-    ask = kinds.where("differ").select("anchor", "one.*", (F.col("c") > 1).alias("done"))
-    crowded = ask.groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.lit(True).alias("hot"))
-    ask = ask.join(crowded, "anchor", "left").groupBy("k", "h").agg(F.collect_list(F.struct("anchor", "start", "n", "done", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
+    def each(batches):
+        for batch in batches:
+            for part in chunks(batch.column("bytes")):
+                row, first, n, sub, subblock = blocks(part, LENGTH, ANCHORS[level])
+                own = batch.slice(part.rows.start, len(part))
+                raw = part.data.tobytes()
+                cut = [raw[a:b] for a, b in zip(first.tolist(), (first + n + LENGTH - 1).tolist(), strict=True)]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sub), pa.array(subblock), own.column("anchor").take(take), own.column("block").take(take), pa.array(first - part.offsets[row]), own.column("places").take(take), pa.array(cut, pa.binary())],
+                    names=["sub", "subblock", "anchor", "block", "off", "places", "bytes"],
+                )
+
+    return each
+
+
+def settled(kinds: DataFrame, crowd: int = CROWD, level: int = 0) -> DataFrame:
+    """(anchor, block, at, n): n repeated starts from `at` on in each distinct block (anchor, block, places, bytes)."""
+    kinds = kinds.select("anchor", "block", "places", "bytes")
+    crowded = runtime.written(kinds.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor"), "crowded")
+    last = level + 1 == len(ANCHORS)
+    few = kinds if last else kinds.join(crowded, "anchor", "left_anti")
+    out = few.repartition(runtime.parts(kinds.sparkSession), "anchor").sortWithinPartitions("anchor").mapInArrow(runtime.task(_merge), _MARKS)
+    if last or not crowded.limit(1).count():
+        return out
+    parts = kinds.join(crowded, "anchor", "left_semi").mapInArrow(runtime.task(_again(level + 1)), "sub long, subblock long, anchor long, block long, off long, places long, bytes binary")
+    parts = runtime.written(parts, "sub-blocks")
+    again = parts.groupBy("sub").agg(F.sum("places").alias("c")).where("c > 1").select("sub")
+    parts = parts.join(again, "sub", "left_semi")
+    finer = parts.groupBy("sub", "subblock").agg(F.sum("places").alias("places"), F.first("bytes").alias("bytes"))
+    finer = runtime.written(finer.select(F.col("sub").alias("anchor"), F.col("subblock").alias("block"), "places", "bytes"), "blocks")
+    found = runtime.written(settled(finer, crowd, level + 1), "found")
+    found = parts.select("sub", "subblock", "anchor", "block", "off").join(found.select(F.col("anchor").alias("sub"), F.col("block").alias("subblock"), "at", "n"), ["sub", "subblock"])
+    return out.union(found.select("anchor", "block", (F.col("off") + F.col("at")).alias("at"), "n"))
+
+
+def marks(texts: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(h, h2, start, n): n consecutive starts of repeated 200-byte strings in distinct texts (h, h2, text)."""
+    every = runtime.written(anchored(texts), "anchors")
+    place = F.struct("h", "h2", "start")
+    several = every.groupBy("anchor").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("anchor")
+    several = runtime.written(several, "several")  # by itself, so that a skewed join can be split
+    every2 = runtime.written(every.join(several, "anchor"), "anchors")
+    runtime.dropped(every)
+    kinds = every2.groupBy("anchor", "block").agg(F.min(F.struct("h", "h2", "start", "n")).alias("one"), F.max(place).alias("last"))
+    # two are as good as many: whether the block stands in more than one place
+    places = F.when(F.struct("one.h", "one.h2", "one.start") == F.col("last"), 1).otherwise(2).cast("long")
+    # a text is asked for its own blocks only, so the list is bounded by its size
+    ask = kinds.select("anchor", "block", "one.*", places.alias("places")).groupBy(*_KEY).agg(F.collect_list(F.struct("anchor", "block", "start", "n", "places")).alias("asked"))
 
     def cut(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for k, h, raw, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            out: list[list] = [[] for _ in range(4)]
+            size = 0
+            for raw, asked in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for a in asked:
-                    row = (a["anchor"], k, h, a["start"], a["done"], a["hot"], raw[a["start"] : a["start"] + a["n"] + LENGTH - 1])
+                    row = (a["anchor"], a["block"], a["places"], raw[a["start"] : a["start"] + a["n"] + LENGTH - 1])
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
-            kinds_ = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds_, strict=True)], names=["anchor", "k", "h", "start", "done", "hot", "bytes"])
+                    size += len(row[3])
+                if size > 1 << 22:
+                    yield sent(out)
+                    out, size = [[] for _ in range(4)], 0
+            yield sent(out)
+
+    def sent(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["anchor", "block", "places", "bytes"])
 
-    # rows repeated with one doc_id and text hold the same bytes: one of them is enough
-    asked = documents.select("k", "h", "text").join(ask, ["k", "h"]).select("k", "h", "text", "asked")
-    pieces = runtime.written(asked.mapInArrow(runtime.task(cut), "anchor long, k long, h long, start long, done boolean, hot boolean, bytes binary").dropDuplicates(["anchor", "k", "h", "start"]), "pieces")
-    cold = pieces.where("not hot").select("anchor", "k", "h", "start", "done", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(runtime.task(_merge), _MARKS)
-    strings = pieces.where("hot").select("k", "h", "start", "bytes").mapInArrow(runtime.task(_strings), "w1 long, w2 long, k long, h long, start long")
-    again = strings.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w1", "w2")
-    crowd = strings.join(again, ["w1", "w2"], "left_semi").select("k", "h", "start", F.lit(1).cast("long").alias("n"))
-    return equal.union(cold).union(crowd)
+    asked = texts.select(*_KEY, "text").join(ask, _KEY).select("text", "asked")
+    # rows repeated with one text hold the same bytes: one of them is enough
+    pieces = runtime.written(asked.mapInArrow(runtime.task(cut), "anchor long, block long, places long, bytes binary").dropDuplicates(["anchor", "block"]), "pieces")
+    found = runtime.written(settled(pieces, crowd), "found")
+    return every2.join(found.withColumnRenamed("n", "m"), ["anchor", "block"]).select(*_KEY, (F.col("start") + F.col("at")).alias("start"), F.col("m").alias("n"))
 
 
-def dedup(documents: DataFrame, hot: int = HOT) -> DataFrame:
+def dedup(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, kept (bytes), n_bytes, n_removed, n_spans, kept_sha256 for every document.
 
     Null texts are empty; a text below 200 bytes keeps all.  Repeated rows (also
-    with one doc_id) are texts of their own, so their strings are repeats.
+    with one doc_id) are texts of their own, so their strings are repeats: a text
+    that several rows have goes wholly from 200 bytes on.
     """
-    docs = keyed(documents)
+    docs = runtime.plain(documents, doc_id="long", text="string").withColumns({"h": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+    long_ = F.octet_length("text") >= LENGTH
+    number = F.coalesce("doc_id", F.lit(-(2**63)))
+    copies = docs.where(long_).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("rows"), F.min(number).alias("first")).where("rows > 1").drop("rows")
+    copies = runtime.written(copies, "copies")
+    told = docs.join(copies, _KEY, "left")
+    single = F.col("first").isNull()
+    found = marks(told.where(long_ & (single | (number == F.col("first")))).select(*_KEY, "text"), crowd)
 
     def rest(batches):
         for batch in batches:
             marked = batch.column(2)
             out: list[list] = [[] for _ in range(5)]
-            for i, raw in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+            for i, (raw, whole) in enumerate(zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 raw = raw or b""
                 own, spans = raw, 0
-                if marked[i].is_valid:
+                if whole:
+                    own, spans = b"", 1
+                elif marked[i].is_valid:
                     start, n = spans_of(marked, i)
                     s, e = union_spans(start, start + n + LENGTH - 1)
                     spans, last, keep = len(s), 0, []
@@ -287,7 +352,11 @@ def dedup(documents: DataFrame, hot: int = HOT) -> DataFrame:
             kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, kinds, strict=True)]], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_marks(docs, marks(docs, hot)).mapInArrow(runtime.task(rest), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # a text has at most as many marks as blocks' parts, so its list is bounded by its size
+    each = found.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+    own = told.where(single).select("doc_id", "text", *_KEY).join(each, _KEY, "left").select("doc_id", "text", "marks", F.lit(False).alias("whole"))
+    again = told.where(~single).select("doc_id", "text", F.lit(None).cast("array<struct<start:bigint,n:bigint>>").alias("marks"), F.lit(True).alias("whole"))
+    return own.union(again).mapInArrow(runtime.task(rest), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

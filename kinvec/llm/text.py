@@ -132,10 +132,11 @@ class Words:
     """The words (runs of bytes other than blank and 0x09-0x0D) of a chunk.
 
     start, end: byte positions in the chunk; doc: row of each word; first: n + 1
-    offsets of each row's words; hash: 64 bits of each word.
+    offsets of each row's words; hash: 64 bits of each word; again: 64 others,
+    where a second base is given.
     """
 
-    def __init__(self, chunk: Chunk, lower: bool):
+    def __init__(self, chunk: Chunk, lower: bool, second: int | None = None):
         data = lower_az()[chunk.data] if lower else chunk.data
         n = len(data)
         inside = ~_separators("space")[data]
@@ -152,7 +153,9 @@ class Words:
         self.end = np.flatnonzero(ends)
         self.first = np.searchsorted(self.start, chunk.offsets)
         self.doc = np.repeat(np.arange(len(chunk)), np.diff(self.first))
-        self.hash = Rolling(byte_codes()[data]).ranges(self.start, self.end)
+        codes = byte_codes()[data]
+        self.hash = Rolling(codes).ranges(self.start, self.end)
+        self.again = None if second is None else Rolling(codes, second).ranges(self.start, self.end)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -70,9 +70,8 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.dedup(none).count() == 0
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_suffix_dedup(docs, none, hot):
-    rows = pairs(docs)
+def brute_repeats(rows):
+    """{id: (bytes, removed, spans, sha256)} of rows (id, text)."""
     count = Counter(b[a : a + 200] for _, t in rows for b in [(t or "").encode()] for a in range(len(b) - 199))
     want = {}
     for i, t in rows:
@@ -83,12 +82,65 @@ def test_suffix_dedup(docs, none, hot):
                 gone[a : a + 200] = True
         kept = bytes(x for x, g in zip(b, gone[:-1], strict=True) if not g)
         want[i] = (len(b), len(b) - len(kept), int((gone[:-1] & ~np.append(False, gone[:-2])).sum()) if len(b) else 0, hashlib.sha256(kept).hexdigest())
-    got = suffix_dedup.dedup(docs, hot).collect()
+    return want
+
+
+@pytest.mark.parametrize("crowd", [4096, 1])
+def test_suffix_dedup(docs, none, crowd):
+    rows = pairs(docs)
+    want = brute_repeats(rows)
+    got = suffix_dedup.dedup(docs, crowd).collect()
     assert len(got) == len(rows)
     assert all((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]] for r in got)
     assert suffix_dedup.dedup(none).count() == 0
 
 
+def test_a_passage_of_many_texts_and_rows_that_repeat(spark):
+    passage = prose(45)
+    rows = [(i, prose(12) + passage + prose(12)) for i in range(40)] + [(100, passage[:198] + "x"), (101, passage)]
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_repeats(rows)
+    for crowd in (3, 4096):
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(own, crowd).collect()}
+        assert got == want
+    # a thousand equal rows, half of them of one doc_id, cost no more than their number
+    same = spark.range(1000).selectExpr("if(id < 500, 5000, id) AS doc_id", "'X' AS text").withColumn("text", F.lit(passage))
+    got = suffix_dedup.dedup(own.union(same)).collect()
+    assert len(got) == len(rows) + 1000 and all(r["n_removed"] == r["n_bytes"] for r in got if r["doc_id"] == 101 or r["doc_id"] >= 500)
+    docs_ = suffix_dedup.runtime.plain(own.union(same), doc_id="long", text="string").selectExpr("xxhash64(text) AS h", "xxhash64(1, text) AS h2", "text")
+    assert suffix_dedup.marks(docs_.dropDuplicates(["h", "h2"])).count() < 42 * 12
+
+
+def test_blocks_of_a_long_text_in_segments():
+    raw = np.frombuffer((prose(400) + prose(30) * 20).encode(), np.uint8)
+    part = suffix_dedup.Chunk(raw, np.array([0, len(raw)]), slice(0, 1))
+    for segment in (300, 1000, 1 << 22):
+        row, first, n, anchor, block = suffix_dedup.blocks(part, segment=segment)
+        starts = np.concatenate([np.arange(a, a + k) for a, k in zip(first, n, strict=True)])
+        assert (starts == np.arange(len(raw) - 199)).all() and (row == 0).all() and n.max() <= 161
+
+
+def test_common_prefixes_of_the_merge():
+    rng = random.Random(3)
+    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(8, 60))) * 2 for _ in range(9)]
+    size = np.array([len(s) for s in strings])
+    symbol = suffix_dedup.words_of(np.frombuffer(b"".join(strings), np.uint8), size)
+    first = np.append(0, np.cumsum(size + 1))
+    shards = [suffix_dedup.Shard(symbol[first[a] : first[b]], size[a:b]) for a, b in ((0, 3), (3, 4), (4, 9))]
+    order = np.concatenate([s.order + first[a] for s, a in zip(shards, (0, 3, 4), strict=True)])
+    suffix = []
+    for s, n in enumerate(size):
+        suffix += [[strings[s][i : i + 8] for i in range(p, n - 7, 8)] + [("end", s, p % 8)] for p in range(n + 1)]
+    alike = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    rounds = 4
+    at, interval, common = suffix_dedup.merged(shards, rounds)
+    best = [max(alike(a, b) for j, b in enumerate(suffix) if j != i) for i, a in enumerate(suffix)]
+    assert sorted(order[at].tolist()) == [i for i, b in enumerate(best) if b >= rounds]
+    for a, b, p, q in zip(at[:-1], at[1:], interval[:-1], interval[1:], strict=True):
+        assert (p == q) == (alike(suffix[order[a]], suffix[order[b]]) >= rounds) == (common[b] == rounds)
+    assert all(c <= best[order[i]] for i, c in enumerate(common))
+
+
 @pytest.mark.parametrize("shard_bytes", [300, 900, 1 << 18])
 def test_merged_transforms(shard_bytes):
     rng = random.Random(shard_bytes)
