@@ -20,8 +20,8 @@ deals the interleave stably by the transforms' symbols, so after r rounds it is
 ordered by 8 r bytes, and neighbours that differ in symbol or came from
 different intervals start a new interval: their common prefix is below 8 r.
 Suffixes alone in their interval leave: their predecessors are alone one round
-later.  A block of several places is
-repeated by itself and stays.  After 25 rounds the intervals left are the
+later.  A suffix alone in its interval whose block stands in several places is a
+repeat by itself, and so are all of its block.  After 25 rounds the intervals left are the
 strings of 200 bytes that occur more than once, and every mark comes from one.
 Suffixes are sorted within shards only.
 
@@ -44,7 +44,7 @@ from .substring_dedup import spans_of
 from .text import U64, Chunk, Rolling, byte_codes, chunks, ragged, sliding_min, union_spans
 
 LENGTH, ANCHORS, WORD = 200, (40, 120, 200), 8
-SHARD_BYTES, MERGE_BYTES, CROWD = 1 << 18, 1 << 21, 4096
+SHARD_BYTES, MERGE_BYTES, CROWD = 1 << 18, 1 << 21, 1024
 SEGMENT = 1 << 22
 _PLACE = U64((1 << 28) - 1)
 _OTHER = 0xD6E8FEB86659FD93
@@ -146,13 +146,13 @@ def words_of(data: np.ndarray, size: np.ndarray) -> np.ndarray:
     return symbol
 
 
-def merged(shards: list[Shard], rounds: int, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merged(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Interleave refinement of the shards' transforms for that many symbols.
 
     Suffixes are numbered by shard and rank within it.  Returns those that share
-    their first symbols with another or are `often` (stand for several), in
-    merged order, the interval of each, and for every suffix how many symbols it
-    has in common with the one before it in merged order (at most `rounds`).
+    their first symbols with another, in merged order, the interval of each, and
+    for every suffix how many symbols it has in common with the one before it in
+    merged order (at most `rounds`).
     """
     transform = np.concatenate([s.transform for s in shards])
     offset = np.cumsum([0] + [len(s.order) for s in shards])
@@ -169,8 +169,6 @@ def merged(shards: list[Shard], rounds: int, often: np.ndarray | None = None) ->
         new[1:-1] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
         common[interleave[~new[:-1]]] = done + 1
         keep = ~(new[:-1] & new[1:])
-        if often is not None:
-            keep |= often[interleave]
         interval = (np.cumsum(new[:-1]) - 1)[keep]
         interleave = interleave[keep]
         if not len(interleave):
@@ -194,10 +192,12 @@ def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHAR
     starts = np.cumsum([0] + [len(s.order) for s in shards])
     order = np.concatenate([s.order + o for s, o in zip(shards, starts, strict=False)])
     of = np.repeat(np.arange(len(size)), size + 1)
-    often = None if places is None else (places[of] > 1)[order]
-    at, _, _ = merged(shards, length // WORD, often)
-    node = np.sort(order[at])
-    node = node[node - first[of[node]] <= (size - length)[of[node]]]  # often and too near the end
+    at, _, _ = merged(shards, length // WORD)
+    again = np.zeros(len(of), dtype=bool)
+    again[order[at]] = True
+    if places is not None:
+        again |= (places > 1)[of] & (np.arange(len(of)) - first[of] <= (size - length)[of])
+    node = np.flatnonzero(again)
     return of[node], node - first[of[node]]
 
 
