@@ -49,15 +49,16 @@ class Tree:
                     todo.append((child, own))
         return out
 
-    def walk(self, q: np.ndarray, visits: int) -> list[int]:
-        """The first leaves best bin first."""
+    def walk(self, q: np.ndarray, visits: int, rows: np.ndarray | None = None, need: int = 0) -> list[int]:
+        """The first leaves best bin first: `visits` of them, and more until they hold `need` rows."""
         if not self.centres:
             return [0]
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < visits:
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < visits or held < need):
             _, node = heapq.heappop(queue)
             if node < 0:
                 out.append(~node)
+                held += int(rows[~node]) if rows is not None else need
                 continue
             gap = self.centres[node] - q
             for d, child in zip((gap * gap).sum(axis=1).tolist(), self.children[node], strict=True):
@@ -111,6 +112,11 @@ def fit(x: np.ndarray, leaf: int, branches: int = BRANCHES, seed: int = 11) -> T
 
 def nearest(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of q, row of x, distance): exact k nearest of each query, ties to the smaller id; its own id is no candidate."""
+    most = max(np.abs(q).max(initial=0), np.abs(x).max(initial=0))
+    if not 1e-150 < most < 1e150 and most > 0:  # squares would overflow or vanish: scale by a power of two
+        scale = 2.0 ** np.floor(np.log2(most))
+        a, b, d = nearest(q / scale, q_id, x / scale, x_id, k)
+        return a, b, d * scale
     a, b, d = [], [], []
     qq, xx = (q * q).sum(axis=1), (x * x).sum(axis=1)
     for i in range(len(q)):
@@ -141,7 +147,7 @@ def index(rows: DataFrame, tree: Tree) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(shared.value.assign(vectors.matrix(batch.column(1)))), batch.column(0), batch.column(1)], names=["leaf", "vec_id", "v"])
 
-    return rows.select("vec_id", "v").mapInArrow(runtime.task(assign), "leaf int, vec_id long, v array<float>")
+    return rows.select("vec_id", "v").mapInArrow(runtime.task(assign), f"leaf int, vec_id long, v {rows.schema['v'].dataType.simpleString()}")
 
 
 def calibrate(indexed: DataFrame, total: int, tree: Tree, k: int, target: float = TARGET, queries: int = CALIBRATION) -> int:
@@ -175,14 +181,16 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, target: float =
     Nearest by Euclidean distance in double precision, ties to the smaller
     vec_id; a query's own vec_id is no candidate.  Null, empty, zero and
     non-finite vectors take no part, nor those that have not the commonest
-    length.  Without rows there is no result.
+    length.  Of rows with one vec_id the least vector, component by component,
+    stands for all.  A query has fewer than k rows only where there are fewer
+    candidates.  Without rows there is no result.
     """
     spark = embeddings.sparkSession
     rows = vectors.read(embeddings).where(F.col("v").isNotNull() & F.col("vec_id").isNotNull()).select("vec_id", "v")
     d = vectors.dimension(rows)
     if d is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, visited int")
-    rows = rows.where(F.size("v") == d)
+    rows = runtime.written(rows.where(F.size("v") == d).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     total = rows.count()
     drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(1_000_000)) < min(1.0, sample / total) * 1_000_000).select("vec_id", "v").toArrow().sort_by("vec_id")
     x = vectors.matrix(drawn["v"])
@@ -190,16 +198,20 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, target: float =
     indexed = runtime.written(index(rows, tree), "index")
     visits = calibrate(indexed, total, tree, k, target)
 
-    walks = spark.sparkContext.broadcast(tree)
+    held = np.zeros(tree.leaves, dtype=np.int64)
+    for r in indexed.groupBy("leaf").count().collect():  # one row a leaf: bounded by the sample
+        held[r["leaf"]] = r["count"]
+    walks = spark.sparkContext.broadcast((tree, held))
 
     def walk(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                own = [walks.value.walk(q, visits) for q in vectors.matrix(part.column(1))]
+                walked, rows_of = walks.value
+                own = [walked.walk(q, visits, rows_of, k + 1) for q in vectors.matrix(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.list_(pa.int32()))], names=["query_id", "v", "leaves"])
 
-    queries = indexed.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v").mapInArrow(runtime.task(walk), "query_id long, v array<float>, leaves array<int>")
+    queries = indexed.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v").mapInArrow(runtime.task(walk), f"query_id long, v {rows.schema['v'].dataType.simpleString()}, leaves array<int>")
     queries = runtime.written(queries, "queries").select("query_id", "v", F.explode("leaves").alias("leaf"))
     # one row a leaf: bounded by the sample, whatever the data
     by_leaf = indexed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / ROW_BLOCK).cast("int").alias("nb")).join(queries.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("nq")), "leaf")

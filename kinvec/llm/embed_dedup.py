@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 
 from . import runtime, vectors
 
-THRESHOLD, MISS, PER_BUCKET, BLOCK = 0.93, 1e-4, 32, 1024
+THRESHOLD, MISS, PER_BUCKET, BLOCK, MOST_BITS = 0.93, 1e-4, 32, 1024, 32
 _PAIRS = "uid long, links long, root long"
 
 
 def plan(largest: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
     """(bits a table, tables) for labels of at most that many vectors."""
-    bits = int(np.clip(math.ceil(math.log2(max(largest, 1) / PER_BUCKET)) if largest > PER_BUCKET else 1, 1, 16))
+    bits = int(np.clip(math.ceil(math.log2(max(largest, 1) / PER_BUCKET)) if largest > PER_BUCKET else 1, 1, MOST_BITS))
     meet = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-meet)))
 
@@ -53,8 +53,8 @@ def _verify(batches, threshold: float):
         uid, m, side = table["uid"].to_numpy(), table["m"].to_numpy(), table["side"].to_numpy()
         t = int(table["t"][0].as_py())
         x = vectors.matrix(table["v"])
-        codes = np.frombuffer(b"".join(table["codes"].to_pylist()), "<u2").reshape(len(uid), -1)
-        x /= np.sqrt((x * x).sum(axis=1))[:, None]
+        codes = np.frombuffer(b"".join(table["codes"].to_pylist()), "<u4").reshape(len(uid), -1)
+        x = vectors.unit(x)
         first, second = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
         p, q = np.nonzero(x[first] @ x[second].T >= threshold)
         p, q = first[p], second[q]
@@ -93,13 +93,19 @@ def links(embeddings: DataFrame, threshold: float = THRESHOLD, miss: float = MIS
 
     Rows whose label is null or whose vector is null, empty, zero or holds null
     or non-finite components have no links; vectors of different length have
-    none with each other.  A vec_id on several rows is several vectors.
+    none with each other.  Labels of any type are compared as text.  A vec_id on
+    several rows is several vectors, which may link with each other.
     """
     spark = embeddings.sparkSession
-    rows = vectors.read(embeddings)
-    own = rows.where(F.col("v").isNotNull() & F.col("label").isNotNull()).withColumn("uid", F.xxhash64("label", "v"))
-    equal = own.groupBy("uid").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count(F.lit(1)).alias("m"), F.min("vec_id").alias("least"))
+    rows, kind = vectors.read(embeddings), vectors.kind_of(embeddings)
+    own = rows.where(F.col("v").isNotNull() & F.col("label").isNotNull())
+    equal = own.groupBy("label", "v").agg(F.count(F.lit(1)).alias("m"), F.min("vec_id").alias("least"))
     equal = runtime.written(equal, "vectors")
+    salt = 0  # a hash by which no two of these vectors are one
+    while equal.groupBy(F.xxhash64(F.lit(salt), "label", "v")).count().where("count > 1").limit(1).count():
+        salt += 1
+    uid = F.xxhash64(F.lit(salt), "label", "v")
+    equal = equal.withColumn("uid", uid)
     largest = equal.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan(largest, threshold, miss)
 
@@ -111,12 +117,12 @@ def links(embeddings: DataFrame, threshold: float = THRESHOLD, miss: float = MIS
                 part = batch.filter(pa.array(size == d))
                 if d not in planes:
                     planes[d] = np.random.default_rng(d).normal(size=(d, tables * bits))
-                up = (vectors.matrix(part.column("v")) @ planes[d] > 0).reshape(-1, tables, bits)
-                codes = (up << np.arange(bits)).sum(axis=2).astype("<u2")
-                out = [part.column("uid"), part.column("label"), part.column("m"), pa.array([d] * len(codes), pa.int32()), part.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(codes.astype(np.int32).tolist(), pa.list_(pa.int32()))]
+                up = (vectors.unit(vectors.matrix(part.column("v"))) @ planes[d] > 0).reshape(-1, tables, bits)
+                codes = (up << np.arange(bits)).sum(axis=2).astype("<u4")
+                out = [part.column("uid"), part.column("label"), part.column("m"), pa.array([d] * len(codes), pa.int32()), part.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(codes.astype(np.int64).tolist(), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(out, names=["uid", "label", "m", "d", "v", "codes", "code"])
 
-    coded = equal.select("uid", "label", "m", "v").mapInArrow(runtime.task(sign), "uid long, label int, m long, d int, v array<float>, codes binary, code array<int>")
+    coded = equal.select("uid", "label", "m", "v").mapInArrow(runtime.task(sign), f"uid long, label string, m long, d int, v {kind}, codes binary, code array<long>")
     coded = runtime.written(coded, "codes")
     places = coded.select("uid", "label", "d", F.posexplode("code").alias("t", "c"))
     sizes = places.groupBy("label", "d", "t", "c").count().where("count > 1").select("label", "d", "t", "c", F.ceil(F.col("count") / block).cast("int").alias("nb"))
@@ -135,7 +141,7 @@ def links(embeddings: DataFrame, threshold: float = THRESHOLD, miss: float = MIS
     named = equal.select("uid", "m", "least").join(total, "uid", "left").join(labels.withColumnRenamed("id", "uid"), "uid", "left").select("uid", "m", "least", "links", F.coalesce("component", "uid").alias("c"))
     first = named.groupBy("c").agg(F.min("least").alias("component_id"))
     named = named.join(first, "c").select("uid", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id")
-    all_rows = rows.select("vec_id", F.when(F.col("v").isNotNull() & F.col("label").isNotNull(), F.xxhash64("label", "v")).alias("uid"))
+    all_rows = rows.select("vec_id", F.when(F.col("v").isNotNull() & F.col("label").isNotNull(), uid).alias("uid"))
     out = all_rows.join(named, "uid", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
