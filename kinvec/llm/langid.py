@@ -2,20 +2,23 @@
 
 Texts become letters and single blanks (everything else is a blank, letters in
 lower case), and each run is scored by the models of all languages at once.
-The n-grams of one order, of every language, are one sorted array of 64-bit
-hashes with a row of log probabilities (a column a language), so a text costs
-one binary search per character and order that is needed: an n-gram unseen in
-all languages falls back to the next lower order with each language's weight of
-its context.  The language of least cross-entropy per character wins.
+Languages stand in groups of at most GROUP.  The n-grams of one order, of the
+languages of a group, are one sorted array of 64-bit hashes with a row of log
+probabilities (a column a language), so a text costs one binary search per
+character, order that is needed and group: an n-gram unseen in the group falls
+back to the next lower order with each language's weight of its context.  What is
+stored is at most GROUP numbers an n-gram of a language, however many languages
+there are.  The language of least cross-entropy per character wins.
 
 N-grams are counted over the whole texts of all labelled documents outside fold
 0, and the model holds every one of them, so it grows with the distinct n-grams
 of the corpus; totals, kinds and continuation counts are of all of them too.  Who
 asks for a `min_share` gets a smaller model: the rarer n-grams of the highest
-order then leave it, after all statistics are taken.  A rejection limit is calibrated on a hash-chosen sample of the same
-documents (`calibration_docs` a language): a text is rejected when its
-cross-entropy lies above what practically all documents of its language have,
-allowing for short texts.
+order then leave it, after all statistics are taken.  A rejection limit is
+calibrated on a hash-chosen sample of the same documents (`calibration_docs` a
+language), scored on the executors, of which only figures come back: a text is
+rejected when its cross-entropy lies above what practically all documents of its
+language have, allowing for short texts.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ CALIBRATION_DOCS = 400
 _MERGE = 1 << 20
 FOLDS = 5
 UNKNOWN = "und"
+GROUP = 8
 _BLANK = U64(32)
 _SHORT = 24.0
 
@@ -89,22 +93,19 @@ def keys(symbol: np.ndarray, order: int) -> np.ndarray:
 
 
 @dataclass
-class Model:
-    languages: list[str]
-    hashes: list[np.ndarray]  # by order, from 1: sorted
+class Table:
+    """The models of some languages: sorted hashes by order, from 1."""
+
+    hashes: list[np.ndarray]
     logp: list[np.ndarray]  # rows as hashes, a column a language
     backoff: list[np.ndarray]  # of the n-gram as a context
     floor: np.ndarray
-    mean: np.ndarray
-    spread: np.ndarray
-    limit: float = np.inf
 
-    def score(self, symbol: np.ndarray, spans: np.ndarray) -> np.ndarray:
-        """Cross-entropy per character: a row a text, a column a language."""
-        n, order = len(symbol), len(self.hashes)
-        full = keys(symbol, order)
-        out = np.zeros((n, len(self.languages)), dtype=np.float32)
-        todo = np.arange(n)
+    def logs(self, full: np.ndarray) -> np.ndarray:
+        """The log probability of the last symbol of each packed n-gram: a column a language."""
+        order = len(self.hashes)
+        out = np.zeros((len(full), len(self.floor)), dtype=np.float32)
+        todo = np.arange(len(full))
         for k in range(order, 0, -1):
             gram = full[todo] if k == 4 else full[todo] & U64((1 << 16 * k) - 1)
             h = mix(gram)
@@ -123,15 +124,32 @@ class Model:
                 at = np.minimum(np.searchsorted(table, h), len(table) - 1)
                 known = table[at] == h
                 out[todo[known]] += self.backoff[k - 2][at[known]]
-        total = np.zeros((n + 1, len(self.languages)))
-        np.cumsum(out, axis=0, dtype=np.float64, out=total[1:])
-        start, end = spans[0] , spans[1]
-        return -(total[end] - total[start]) / np.maximum(end - start, 1)[:, None]
+        return out
+
+
+@dataclass
+class Model:
+    languages: list[str]
+    tables: list[Table]
+    order: int
+    mean: np.ndarray
+    spread: np.ndarray
+    limit: float = np.inf
 
-    def excess(self, entropy: np.ndarray, best: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    def score(self, symbol: np.ndarray, spans: np.ndarray) -> np.ndarray:
+        """Cross-entropy per character: a row a text, a column a language."""
+        full, start, end = keys(symbol, self.order), spans[0], spans[1]
+        parts = []
+        for table in self.tables:
+            out = table.logs(full)
+            total = np.zeros((len(full) + 1, out.shape[1]))
+            np.cumsum(out, axis=0, dtype=np.float64, out=total[1:])
+            parts.append(total[end] - total[start])
+        return -np.concatenate(parts, axis=1) / np.maximum(end - start, 1)[:, None]
+
+    def excess(self, entropy: np.ndarray, best: np.ndarray, size: np.ndarray) -> np.ndarray:
         """How far a text's cross-entropy lies above its language's mean, in spreads that widen for short texts."""
-        size = np.maximum(spans[2], 1)
-        return (entropy[np.arange(len(best)), best] - self.mean[best]) / (self.spread[best] * np.sqrt(1 + _SHORT * _SHORT / size))
+        return (entropy - self.mean[best]) / (self.spread[best] * np.sqrt(1 + _SHORT * _SHORT / np.maximum(size, 1)))
 
 
 def kneser_ney(counts: list[np.ndarray], grams: np.ndarray, order: int = ORDER, discount: float = 0.75) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -167,8 +185,14 @@ def kneser_ney(counts: list[np.ndarray], grams: np.ndarray, order: int = ORDER,
     return out
 
 
-def build(languages: list[str], tables: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, min_share: float = 0.0) -> Model:
-    """One model of all languages; tables: a language's distinct n-grams and their counts."""
+def build(languages: list[str], tables: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, min_share: float = 0.0, group: int = GROUP) -> Model:
+    """The models of all languages; tables: a language's distinct n-grams and their counts."""
+    own = [_table(languages[i : i + group], tables, order, min_share) for i in range(0, len(languages), group)]
+    one = np.ones(len(languages))
+    return Model(languages, own, order, one * 0, one)
+
+
+def _table(languages: list[str], tables: dict[str, tuple[np.ndarray, np.ndarray]], order: int, min_share: float) -> Table:
     fitted = [kneser_ney(tables[x][1], tables[x][0], order) for x in languages]
     if min_share:
         for x, f in zip(languages, fitted, strict=True):
@@ -200,8 +224,7 @@ def build(languages: list[str], tables: dict[str, tuple[np.ndarray, np.ndarray]]
         hashes.append(h[rank])
         logp.append(lp[rank].astype(np.float32))
         backoff.append(bo[rank].astype(np.float32))
-    one = np.ones(len(languages))
-    return Model(languages, hashes, logp, backoff, floor.astype(np.float32), one * 0, one)
+    return Table(hashes, logp, backoff, floor.astype(np.float32))
 
 
 def fold(doc_id: Column) -> Column:
@@ -274,20 +297,26 @@ def fit(documents: DataFrame, order: int = ORDER, min_share: float = 0.0, calibr
         tables[x] = (gram[own][rank], n[own][rank])
     model = build(sorted(tables), tables, order, min_share)
 
-    held = sampled(train, sizes, calibration_docs, 2).select("text", "lang").toArrow()
-    lang, own = held["lang"].to_pylist(), held["text"].combine_chunks()
-    entropy, best, spans = [], [], []
-    for part in chunks(own):
-        symbol, span = letters(own.slice(part.rows.start, len(part)))
-        entropy.append(model.score(symbol, span))
-        spans.append(span)
-    entropy, spans = np.concatenate(entropy), np.concatenate(spans, axis=1)
-    best = entropy.argmin(axis=1)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def figures(batches):
+        for batch in batches:
+            for part in chunks(batch.column(0)):
+                symbol, span = letters(batch.column(0).slice(part.rows.start, len(part)))
+                e = shared.value.score(symbol, span)
+                best = e.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(e[np.arange(len(e)), best]), pa.array(span[2])], names=["best", "entropy", "size"])
+
+    # at most calibration_docs rows of three numbers a language
+    held = sampled(train, sizes, calibration_docs, 2).select("text").mapInArrow(runtime.task(figures), "best long, entropy double, size long").toArrow()
+    best, least, size = (held[c].to_numpy() for c in ("best", "entropy", "size"))
+    best, least, size = best[size > 0], least[size > 0], size[size > 0]
     for j in range(len(model.languages)):
-        mine = entropy[(best == j) & (spans[2] > 0), j]
+        mine = least[best == j]
         if len(mine) > 1:
             model.mean[j], model.spread[j] = np.median(mine), max(np.std(mine), 1e-3)
-    model.limit = float(np.max(model.excess(entropy, best, spans)[spans[2] > 0], initial=3.0)) * 2.5
+    model.limit = float(np.max(model.excess(least, best, size), initial=3.0)) * 2.5
+    shared.unpersist()
     return model
 
 
@@ -318,7 +347,7 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
                         pred = np.where(has, np.array(m.languages, dtype=object)[best], UNKNOWN)
                         score = np.where(has, 1 / np.exp(-4 * (e - least[:, None])).sum(axis=1), 0.0)
                         entropy = np.where(has, least, np.nan)
-                        rejected = ~has | (m.excess(e, best, spans) > m.limit)
+                        rejected = ~has | (m.excess(least, best, spans[2]) > m.limit)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(part.rows.start, n), pa.array(pred, pa.string()), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(rejected)],
                     names=["doc_id", "lang_pred", "score", "entropy", "rejected"],
