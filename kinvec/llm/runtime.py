@@ -17,9 +17,11 @@ _BATCH_BYTES, _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 25
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir; a folder of our own only in local mode, where that is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
         path = tempfile.mkdtemp(prefix="kinvec-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

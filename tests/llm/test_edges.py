@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, extra columns; brute force on small fixtures."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -345,6 +346,46 @@ def test_license_rules(spark):
         assert any(stem in pattern.replace("[cs]e", "ce").replace("\\(c\\)", "(c)") or stem in key for stem in license_scan.STEMS), pattern
 
 
+def plain_scan(text):
+    """(labels of the rules, score) by a plain loop: every rule whose keywords are there, every place, every pair of places."""
+    low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    spans = []
+    if any(stem in low for stem in license_scan.STEMS):
+        for i, (label, key, also, priority, pattern) in enumerate(license_scan.rules()):
+            if key in low and also in low:
+                spans += [(m.start(), m.end(), priority, label, i) for m in re.finditer(pattern, low, re.ASCII)]
+    beats = lambda t, s: t[0] <= s[0] and t[1] >= s[1] and (t[2] > s[2] or (t[2] == s[2] and (t[1] - t[0] > s[1] - s[0] or (t[1] - t[0] == s[1] - s[0] and t[4] < s[4]))))
+    return sorted(s for s in spans if not any(beats(t, s) for t in spans))
+
+
+def test_license_rules_by_a_plain_loop(spark):
+    rng = random.Random(12)
+    names = ["MIT License", "GNU Lesser General Public License, version 2.1", "the Apache License, Version 2.0", "CC BY-SA 4.0", "cc-by-nc 3.0", "GPLv3+", "BSD license", "(c) 2019 - 2021", "© 2020", "All rights reserved"]
+    forms = ["Licensed under the {}", "This work by me is dual-licensed under the terms of the {}", "license: {}", "{}", "Released under {}", "the software is provided \"as is\", without warranty of any kind {}", "Copyright (c) 1999 {}"]
+    own = [(i, " \n".join(rng.choice(forms).format(rng.choice(names)) + rng.choice(["", ". ", " é ", " x "]) for _ in range(rng.randrange(1, 40)))) for i in range(60)]
+    texts = own + [(r["doc_id"] + 1000, r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    low = license_scan._lower(F.coalesce("text", F.lit("")))
+    gate = F.lit(False)
+    for stem in license_scan.STEMS:
+        gate = gate | F.contains(low, F.lit(stem))
+    got = df.select("doc_id", F.when(gate, license_scan.detections(low)).alias("d")).collect()
+    want = {i: plain_scan(t) for i, t in texts}
+    for r in got:
+        assert sorted(tuple(x) for x in r["d"] or []) == want[r["doc_id"]], r["doc_id"]
+    assert sum(map(len, want.values())) > 500
+
+
+def test_a_text_of_many_places(spark):
+    import time
+
+    text = "licensed under the mit license. (c) 2020 " * 6000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    r = license_scan.scan(df).first()
+    assert (r["n_detections"], r["labels"]) == (12_000, "copyright,mit") and time.time() - began < 60
+
+
 def spelled(parsed):
     """Texts that match a parsed expression: every alternative, optional part, member of a set (of a range its ends) once."""
     out = [""]
@@ -394,7 +435,7 @@ def test_langid(spark, docs, none):
     assert all(odd[i]["lang_pred"] == "und" and odd[i]["rejected"] and odd[i]["score"] == 0 for i in (0, 1, 2))
     assert langid.fit(none.select("doc_id", "text", "lang")) is None
     few = langid.fit(sf.select("doc_id", "text", "lang"), min_share=1e-3, calibration_docs=50)
-    assert len(few.hashes[-1]) <= 1000 * len(few.languages) < len(model.hashes[-1])
+    assert len(few.tables[0].hashes[-1]) <= 1000 * len(few.languages) < len(model.tables[0].hashes[-1])
 
 
 def test_langid_keeps_rare_grams(spark):
@@ -407,6 +448,7 @@ def test_langid_keeps_rare_grams(spark):
     grams = {r["gram"] for r in langid.counted(train).collect()}
     model, few = langid.fit(df), langid.fit(df, min_share=1e-3)
     want = langid.mix(np.array(sorted(grams), dtype=np.int64).view(np.uint64))
+    model, few = model.tables[0], few.tables[0]
     assert set(model.hashes[-1].tolist()) == set(want.tolist())
     assert len(few.hashes[-1]) < len(model.hashes[-1])
     for k in range(langid.ORDER - 1):
@@ -494,3 +536,71 @@ def test_ann(spark, embeddings):
         assert all(r["score"] == d[ids == r["vec_id"]][0] for r in own)
     assert hits / total >= 0.9
     assert ann.search(embeddings.where("false")).count() == 0
+
+
+def plain_kneser_ney(texts, order, discount=0.75):
+    """Log probability of a symbol after a context, from dictionaries; texts are lists of symbols, blanks before the first."""
+    top = Counter()
+    for s in texts:
+        for i in range(len(s)):
+            top[tuple([32] * max(0, order - 1 - i) + s[max(0, i - order + 1) : i + 1])] += 1
+    counts = [None] * order
+    counts[order - 1] = dict(top)
+    for k in range(order - 2, -1, -1):
+        own = Counter()
+        for g in counts[k + 1]:
+            own[g[1:]] += 1
+        counts[k] = dict(own)
+    kinds = len(counts[0])
+    total = [Counter() for _ in range(order)]
+    branches = [Counter() for _ in range(order)]
+    for k in range(order):
+        for g, c in counts[k].items():
+            total[k][g[:-1]] += c
+            branches[k][g[:-1]] += 1
+
+    def p(g):
+        k = len(g) - 1
+        if k == 0:
+            if g not in counts[0]:
+                return discount / (kinds + 1) / 10
+            return max(counts[0][g] - discount, 0) / total[0][()] + discount * kinds / total[0][()] / (kinds + 1)
+        weight = discount * branches[k][g[:-1]] / total[k][g[:-1]] if g[:-1] in total[k] and g[:-1] in counts[k - 1] else None
+        if g in counts[k]:
+            return max(counts[k][g] - discount, 0) / total[k][g[:-1]] + discount * branches[k][g[:-1]] / total[k][g[:-1]] * p(g[1:])
+        return p(g[1:]) * (1 if weight is None else weight)
+
+    return lambda g: math.log(p(g))
+
+
+def test_kneser_ney_by_dictionaries():
+    rng = random.Random(21)
+    languages = {f"l{j}": [[32] + [rng.choice(letters) for _ in range(60)] for _ in range(5)] for j, letters in enumerate(([97, 98, 32], [98, 99, 100, 32], [97, 100, 101], [120, 121, 32]))}
+    tables = {}
+    for name, texts in languages.items():
+        grams = np.concatenate([langid.keys(np.array(s, np.uint16), langid.ORDER) for s in texts])
+        tables[name] = np.unique(grams, return_counts=True)
+    models = [langid.build(sorted(tables), tables, group=g) for g in (1, 3, 8)]
+    asked = [[32] + [rng.choice([97, 98, 99, 100, 120, 32, 55]) for _ in range(40)] for _ in range(6)]
+    symbol = np.array(sum(asked, []), np.uint16)
+    full = langid.keys(symbol, langid.ORDER)
+    for model in models:
+        logs = np.concatenate([t.logs(full) for t in model.tables], axis=1)
+        for j, name in enumerate(model.languages):
+            plain = plain_kneser_ney(languages[name], langid.ORDER)
+            for i in range(len(symbol)):
+                gram = tuple([32] * max(0, langid.ORDER - 1 - i) + [int(x) for x in symbol[max(0, i - langid.ORDER + 1) : i + 1]])
+                assert abs(logs[i, j] - plain(gram)) < 1e-4, (name, gram)
+
+
+def test_vectors_keep_their_precision_and_labels(spark):
+    base = [1.0, 2.0, 3.0, 4.0]
+    rows = [(i, "x", [b + (1e-9 * i if j == 0 else 0) for j, b in enumerate(base)]) for i in range(0, 14)] + [(100, "x", [1e300, 2e300, 3e300, 4e300]), (200, "y", [-0.0, 1.0, 0.0, 0.0]), (201, "y", [0.0, 1.0, 0.0, 0.0]), (201, "y", [0.0, 2.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    got = {r["rank"]: (r["vec_id"], r["score"]) for r in ann.search(df.where("vec_id < 100")).where("query_id = 0").collect()}
+    assert [got[k][0] for k in sorted(got)] == list(range(1, 11)) and all(abs(s / (1e-9 * i) - 1) < 1e-6 for i, s in got.values())
+    many = ann.search(df).where("query_id = 100 and rank = 1").first()
+    assert many["score"] > 1e299 and np.isfinite(many["score"])
+    r = {(x["vec_id"], x["n_links"]): x["component_id"] for x in embed_dedup.links(df).collect()}
+    assert r[100, 14] == 0 and r[13, 14] == 0 and r[200, 2] == 200 and r[201, 2] == 200
+    assert ann.search(spark.createDataFrame([(0, [1.0]), (0, [2.0]), (5, [4.0])], "vec_id long, embedding array<double>").withColumn("label", F.lit(1))).collect()[0]["score"] == 3.0
