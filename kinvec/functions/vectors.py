@@ -32,3 +32,21 @@ def mean_by(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     at = df.select(key, F.posexplode(doubles(F.col(vector))).alias("pos", "x")).groupBy(key, "pos").agg(F.sum("x").alias("x"))
     whole = at.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("total"))
     return whole.select(key, normalise(F.col("total")).alias("mean"))
+
+
+def unit(seed: Column, dimension: int = 512) -> Column:
+    """A unit vector that depends on the seed only: normal numbers by pairs of uniform ones from its hash."""
+    uniform = lambda i, salt: (F.shiftrightunsigned(F.xxhash64(seed, i, F.lit(salt)), 11).cast("double") + 0.5) / float(1 << 53)
+    normal = F.transform(F.sequence(F.lit(1), F.lit(dimension)), lambda i: F.sqrt(-2.0 * F.log(uniform(i, 1))) * F.cos(2.0 * F.pi() * uniform(i, 2)))
+    return F.transform(F.array(normal), lambda v: normalise(v))[0]
+
+
+def measurement(total_ns: Column, iterations: Column) -> Column:
+    """struct(avg_ns, avg_us, avg_ms, per_second) of a timed run."""
+    avg = total_ns.cast("double") / iterations
+    return F.struct(avg.alias("avg_ns"), (avg / 1e3).alias("avg_us"), (avg / 1e6).alias("avg_ms"), F.try_divide(F.lit(1e9), avg).alias("per_second"))
+
+
+def projected_cost(users: Column, avg_ms: Column, workers: Column) -> Column:
+    """Seconds to compare one vector with that many users, shared evenly."""
+    return users * avg_ms / 1000.0 / workers

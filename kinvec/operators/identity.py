@@ -1,4 +1,7 @@
-"""Judgements over small sets of vectors (A3, A4, P9): set_id, idx, embedding."""
+"""Judgements over small sets of vectors (A3, A4, P9): set_id, idx, embedding.
+
+A set is what one person offers at once, some tens of vectors, so it is one task's work.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, mean_by
 
 CENTROID, PAIRWISE, MINIMUM, CAP = 0.35, 0.175, 3, 5
+#: The names under which an enrolment's outcome is stored.
+ACCEPTED, QUALITY, MIXED, TOO_FEW = OUTCOMES = ("Accepted", "RejectedQuality", "RejectedMixedIdentity", "RejectedTooFewPhotos")
 
 
 def consistency(sets: DataFrame, centroid: float = CENTROID, pairwise: float = PAIRWISE) -> DataFrame:
@@ -51,13 +56,23 @@ def select(sets: DataFrame, count: int = CAP) -> DataFrame:
         own = farthest_points(np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]]), count)
         return pd.DataFrame({"set_id": pdf["set_id"].iloc[0], "pick": range(len(own)), "idx": pdf["idx"].to_numpy()[own]})
 
-    return sets.select("set_id", "idx", "embedding").groupBy("set_id").applyInPandas(one, "set_id long, pick int, idx long")
+    kind = {f.name: f.dataType.simpleString() for f in sets.schema}
+    return sets.select("set_id", "idx", "embedding").groupBy("set_id").applyInPandas(one, f"set_id {kind['set_id']}, pick int, idx {kind['idx']}")
 
 
 def decide(sets: DataFrame, minimum: int = MINIMUM) -> DataFrame:
-    """(set_id, n, outcome, reason): too few vectors, then inconsistent ones, are rejected."""
+    """(set_id, n, outcome, reason): too few vectors, then inconsistent ones, are rejected; an accepted set has no reason."""
     c = consistency(sets)
     few = F.format_string("%d usable photographs, at least %d required", "n", F.lit(minimum))
-    mixed = F.when(F.col("outliers") == 0, F.format_string("photographs disagree, lowest similarity %.3f", "min_similarity")).when(F.col("outliers") == 1, F.lit("1 photograph differs from the others")).otherwise(F.format_string("%d photographs differ from the others", "outliers"))
-    outcome = F.when(F.col("n") < minimum, "rejected_too_few").when(F.col("verdict") == "Mixed", "rejected_inconsistent").otherwise("accepted")
+    who = F.when(F.col("outliers") == 0, F.lit("the photographs do not all show the same person")).when(F.col("outliers") == 1, F.lit("1 photograph shows a different person"))
+    who = who.otherwise(F.format_string("%d photographs show a different person", "outliers"))
+    mixed = F.concat(who, F.format_string(" (lowest similarity %.3f)", "min_similarity"))
+    outcome = F.when(F.col("n") < minimum, TOO_FEW).when(F.col("verdict") == "Mixed", MIXED).otherwise(ACCEPTED)
     return c.select("set_id", "n", outcome.alias("outcome"), F.when(F.col("n") < minimum, few).when(F.col("verdict") == "Mixed", mixed).alias("reason"))
+
+
+def enrolled(sets: DataFrame, minimum: int = MINIMUM, count: int = CAP) -> DataFrame:
+    """(set_id, pick, idx, embedding): the vectors kept of each accepted set, in the order picked."""
+    good = decide(sets, minimum).where(F.col("outcome") == ACCEPTED).select("set_id")
+    picked = select(sets.join(good, "set_id", "left_semi"), count)
+    return picked.join(sets.select("set_id", "idx", "embedding"), ["set_id", "idx"]).select("set_id", "pick", "idx", "embedding")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import positions, running
+
 _UP = Window.unboundedPreceding
 
 
@@ -28,18 +30,24 @@ def roc(pairs: DataFrame) -> DataFrame:
     """(threshold, far, tar) at every distinct score and at +infinity, acceptance by >=."""
     own = by_score(pairs)
     totals = own.agg(F.sum("g").alias("gs"), F.sum("i").alias("is"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(_UP, 0)
-    run = own.select("score", F.sum("g").over(w).alias("g"), F.sum("i").over(w).alias("i")).crossJoin(F.broadcast(totals))
+    run = running(own, "score", {"g": "g", "i": "i"}, descending=True).crossJoin(F.broadcast(totals))
     points = run.select(F.col("score").alias("threshold"), (F.col("i") / F.col("is")).alias("far"), (F.col("g") / F.col("gs")).alias("tar"))
     top = pairs.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0)], "threshold double, far double, tar double")
     return top.union(points)
 
 
 def auc(points: DataFrame) -> DataFrame:
-    """(auc): trapezium rule over the points by false-accept rate, higher thresholds first."""
-    w = Window.orderBy("far", F.desc("threshold"))
-    step = points.select("far", "tar", F.lag("far").over(w).alias("f0"), F.lag("tar").over(w).alias("t0"))
-    return step.agg(F.coalesce(F.sum((F.col("far") - F.col("f0")) * (F.col("tar") + F.col("t0")) / 2), F.lit(0.0)).alias("auc"))
+    """(auc): trapezium rule over the points by false-accept rate.
+
+    Points of one rate are a line upwards: its lowest is reached from the rate
+    before, its highest goes on to the next.
+    """
+    rates = points.groupBy("far").agg(F.min("tar").alias("low"), F.max("tar").alias("high"))
+    # the rate before: positions in order, joined with themselves one place on
+    at = positions(rates, "far")
+    before = at.select((F.col("pos") + 1).alias("pos"), F.col("far").alias("f0"), F.col("high").alias("t0"))
+    step = at.join(before, "pos")
+    return step.agg(F.coalesce(F.sum((F.col("far") - F.col("f0")) * (F.col("low") + F.col("t0")) / 2), F.lit(0.0)).alias("auc"))
 
 
 def equal_error_rate(points: DataFrame) -> DataFrame:
@@ -60,9 +68,8 @@ def tar_at_far(points: DataFrame, target: float, impostors: int) -> DataFrame:
 def best_global_threshold(pairs: DataFrame) -> DataFrame:
     """(threshold, accuracy) of most correct decisions over the distinct scores; of several the highest."""
     own = by_score(pairs)
-    w = Window.orderBy(F.desc("score")).rowsBetween(_UP, 0)
     totals = own.agg(F.sum("i").alias("is"), F.sum(F.col("g") + F.col("i")).alias("n"))
-    run = own.select("score", F.sum("g").over(w).alias("g"), F.sum("i").over(w).alias("i")).crossJoin(F.broadcast(totals))
+    run = running(own, "score", {"g": "g", "i": "i"}, descending=True).crossJoin(F.broadcast(totals))
     correct = F.col("g") + F.col("is") - F.col("i")
     best = run.agg(F.max(F.struct((correct / F.col("n")).alias("accuracy"), F.col("score").alias("threshold"))).alias("b"))
     return best.select("b.threshold", "b.accuracy")
@@ -96,3 +103,36 @@ def ten_fold(pairs: DataFrame, folds: int = 10, fold_size: int = 600) -> DataFra
 
 def ten_fold_summary(folds: DataFrame) -> DataFrame:
     return folds.agg(F.avg("accuracy").alias("mean"), (F.stddev_samp("accuracy") / F.sqrt(F.count(F.lit(1)).cast("double"))).alias("stderr"))
+
+
+def scored_pairs(pairs: DataFrame, embeddings: DataFrame, score) -> DataFrame:
+    """pairs (a_id, b_id, ...) with `score` of the vectors of both; null where a side has no vector (embeddings: id, v)."""
+    a = embeddings.select(F.col("id").alias("a_id"), F.col("v").alias("_a"))
+    b = embeddings.select(F.col("id").alias("b_id"), F.col("v").alias("_b"))
+    out = pairs.join(a, "a_id", "left").join(b, "b_id", "left")
+    there = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    return out.withColumn("score", F.when(there, score(F.col("_a"), F.col("_b")))).drop("_a", "_b")
+
+
+def counts(scored: DataFrame) -> DataFrame:
+    """(genuine, impostors, skipped) of pairs with `same` and a score, which is null for those skipped."""
+    has = F.col("score").isNotNull()
+    return scored.agg(F.count_if(has & F.col("same")).alias("genuine"), F.count_if(has & ~F.col("same")).alias("impostors"), F.count_if(~has).alias("skipped"))
+
+
+def verification(scored: DataFrame, rates: tuple[float, ...] = (1e-3, 1e-4)) -> dict:
+    """The whole report of scored pairs (same, score): counts, auc, eer, and the rate at each false-accept rate that the impostors can tell (None elsewhere)."""
+    n = counts(scored).first().asDict()
+    out = dict(n)
+    if not n["genuine"] or not n["impostors"]:
+        return out
+    points = roc(scored.where("score is not null")).persist()
+    try:
+        out["auc"] = auc(points).first()["auc"]
+        out["eer"], out["eer_threshold"] = equal_error_rate(points).first()
+        for r in rates:
+            best = tar_at_far(points, r, n["impostors"]).first() if r * n["impostors"] >= 1 else None
+            out[f"tar_at_{r:g}"] = None if best is None else tuple(best)
+    finally:
+        points.unpersist()
+    return out
