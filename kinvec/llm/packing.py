@@ -14,6 +14,7 @@ join of the (bounded) patterns; texts and ids are never shuffled.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -78,6 +79,21 @@ class WordStore:
         return self.flat[ragged(self.starts[index], sizes)], np.diff(np.append(0, np.cumsum(sizes))[np.append(0, ends)])
 
 
+def _word_pattern(path: str) -> str:
+    """The pre-token pattern of a tokenizer file; a file whose words can't be told apart beforehand raises."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    spaces = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    if [s if s.get("type") == "Replace" else s.get("type") for s in steps] == ["NFC", spaces, "Lowercase"] and [p.get("type") for p in parts] == ["Split", "ByteLevel"]:
+        split, level = parts
+        pattern = split["pattern"].get("Regex", "")
+        if split["invert"] and split["behavior"] == "Removed" and not level["add_prefix_space"] and not level["use_regex"] and "\\s" in pattern:
+            return pattern
+    raise ValueError(f"{path}: not a tokenizer of lower-case words between blanks, which is the only kind known here")
+
+
 class WordTokenizer(WordStore):
     """Ids of whole texts by a tokenizer whose tokens never span white space.
 
@@ -93,7 +109,7 @@ class WordTokenizer(WordStore):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.pretoken = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.pretoken = regex.compile(_word_pattern(path))
         self.simple = regex.compile(r"[!-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0132-\u024f]+").fullmatch
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabet: these stand for themselves
         hidden = iter(range(256, 512))

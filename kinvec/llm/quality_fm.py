@@ -134,7 +134,11 @@ def train(offsets: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs: int = 6) -> Machine:
-    """From labelled documents outside fold 0; without any, the machine that scores all alike at 0.5."""
+    """From labelled documents outside fold 0; without any, the machine that scores all alike at 0.5.
+
+    A doc_id with several labels, or several rows, gives an example for each pair
+    of them; labels other than 0 and 1 are left out.
+    """
     own = runtime.plain(labels, doc_id="long", quality="int").where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 0))
     n = own.count()
     own = own.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < min(1.0, max_rows / max(n, 1)) * 1_000_000)

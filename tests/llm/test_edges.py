@@ -604,3 +604,21 @@ def test_vectors_keep_their_precision_and_labels(spark):
     r = {(x["vec_id"], x["n_links"]): x["component_id"] for x in embed_dedup.links(df).collect()}
     assert r[100, 14] == 0 and r[13, 14] == 0 and r[200, 2] == 200 and r[201, 2] == 200
     assert ann.search(spark.createDataFrame([(0, [1.0]), (0, [2.0]), (5, [4.0])], "vec_id long, embedding array<double>").withColumn("label", F.lit(1))).collect()[0]["score"] == 3.0
+
+
+def test_another_kind_of_tokenizer_is_refused(tmp_path):
+    import json
+
+    assert packing._word_pattern(packing.default_tokenizer()).startswith("'s|")
+    spec = json.load(open(packing.default_tokenizer(), encoding="utf-8"))
+    spec["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="only kind"):
+        packing._word_pattern(str(tmp_path / "other.json"))
+
+
+def test_repeated_rows_are_one_component(spark):
+    a = " ".join(f"w{i}" for i in range(30))
+    rows = [(3, a), (3, a), (3, a + " x"), (8, a), (9, None), (9, ""), (4, "other words")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 26, 3), (3, 26, 3), (3, 27, 3), (4, 1, 4), (8, 26, 3), (9, 0, 9), (9, 0, 9)]
