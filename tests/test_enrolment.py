@@ -251,3 +251,22 @@ def test_streaming_tracks_are_the_batch_ones(spark, tmp_path):
     query = streams.sampled(frames, "1 second", "1 second").writeStream.format("memory").queryName("sampled").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "check2")).start()
     query.awaitTermination(240)
     assert sorted(r["frame"] for r in spark.table("sampled").collect()) == [0.0, 2.0, 3.0, 5.0]
+
+
+def test_command_line(spark, tmp_path):
+    from kinvec.__main__ import main
+
+    unit = lambda k: [1.0 if i == k else 0.0 for i in range(4)]
+    vectors = spark.createDataFrame([("a/a_0001.jpg", unit(0)), ("a/a_0002.jpg", [0.8, 0.6, 0.0, 0.0]), ("b/b_0001.jpg", unit(1))], "id string, v array<double>")
+    vectors.write.parquet(str(tmp_path / "v"))
+    (tmp_path / "pairs.txt").write_text("10\t300\na\t1\t2\na\t1\tb\t1\na\t1\tc\t1\n")
+    spark.createDataFrame([("b_a_0001.mp4", "a", unit(0)), ("a_b_0001.mp4", "b", unit(1)), ("a_b_0002.mp4", "b", None)], "probe_id string, own string, v array<double>").write.parquet(str(tmp_path / "p"))
+    spark.createDataFrame([("a", unit(0)), ("b", unit(1))], "gallery_id string, v array<double>").write.parquet(str(tmp_path / "g"))
+    args = ["all", "--pairs", str(tmp_path / "pairs.txt"), "--embeddings", str(tmp_path / "v"), "--probes", str(tmp_path / "p"), "--gallery", str(tmp_path / "g"), "--scores", str(tmp_path / "s"), "--reuse"]
+    text = main(args, spark)
+    assert text == main(args, spark) and (tmp_path / "s").exists()
+    assert "skipped" in text and "probes          : 3" in text and "known targets" in text
+    with pytest.raises(SystemExit):
+        main(["verify"], spark)
+    assert main(["bench", "--users", "20"], spark).count(" ms, ") == 3
+
