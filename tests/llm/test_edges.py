@@ -622,3 +622,28 @@ def test_repeated_rows_are_one_component(spark):
     rows = [(3, a), (3, a), (3, a + " x"), (8, a), (9, None), (9, ""), (4, "other words")]
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(3, 26, 3), (3, 26, 3), (3, 27, 3), (4, 1, 4), (8, 26, 3), (9, 0, 9), (9, 0, 9)]
+
+
+def test_large_leaves_are_split(spark):
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(3000, 6)) + 4 * rng.integers(0, 3, (3000, 1))
+    x[2900:] = x[2899]  # a hundred equal ones can't be told apart
+    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>").repartition(4)
+    rows = ann.vectors.read(df).select("vec_id", "v")
+    tree = ann.fit(x[:40], 8)
+    indexed, levels = ann.refined(ann.runtime.written(ann.index(rows, tree), "index"), most=60, sample=200, leaf_rows=20)
+    sizes = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}
+    assert levels and sum(sizes.values()) == 3000 and indexed.select("vec_id").distinct().count() == 3000
+    assert sorted(n for n in sizes.values() if n > 60)[1:] == [] and max(sizes.values()) < 170
+    assert all(ann.way(leaf)[0] < tree.leaves and ann.way(leaf)[-1] == leaf for leaf in sizes)
+    got = defaultdict(list)
+    for r in ann.search(df, every=50, k=10, sample=300, most=60).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    found = []
+    for i in range(0, 3000, 50):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        limit = np.sort(d)[9]
+        assert len(got[i]) == 10
+        found += [d[j] <= limit for j in got[i]]
+    assert np.mean(found) >= 0.9
