@@ -39,9 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import runtime
-from .substring_dedup import spans_of
-from .text import U64, Chunk, Rolling, byte_codes, chunks, ragged, sliding_min, union_spans
+from . import exchange, runtime
+from .text import U64, Chunk, Rolling, byte_codes, chunks, mix, ragged, sliding_min, union_spans, utf8
 
 LENGTH, ANCHORS, WORD = 200, (40, 120, 200), 8
 SHARD_BYTES, MERGE_BYTES, CROWD = 1 << 18, 1 << 21, 1024
@@ -49,6 +48,7 @@ SEGMENT = 1 << 22
 _PLACE = U64((1 << 28) - 1)
 _OTHER = 0xD6E8FEB86659FD93
 _KEY = ["h", "h2"]
+_FLUSH, _PLACES, _MARK = 1 << 20, 1 << 16, "<i8 <i8 <u4 <u4"
 _MARKS = "anchor long, block long, at long, n long"
 
 
@@ -266,8 +266,8 @@ def settled(kinds: DataFrame, crowd: int = CROWD, level: int = 0) -> DataFrame:
         return out
     parts = kinds.join(crowded, "anchor", "left_semi").mapInArrow(runtime.task(_again(level + 1)), "sub long, subblock long, anchor long, block long, off long, places long, bytes binary")
     parts = runtime.written(parts, "sub-blocks")
-    again = parts.groupBy("sub").agg(F.sum("places").alias("c")).where("c > 1").select("sub")
-    parts = parts.join(again, "sub", "left_semi")
+    again = runtime.written(parts.groupBy("sub").agg(F.sum("places").alias("c")).where("c > 1").select("sub"), "again")
+    parts = runtime.written(parts.join(again, "sub", "left_semi"), "sub-blocks")
     finer = parts.groupBy("sub", "subblock").agg(F.sum("places").alias("places"), F.first("bytes").alias("bytes"))
     finer = runtime.written(finer.select(F.col("sub").alias("anchor"), F.col("subblock").alias("block"), "places", "bytes"), "blocks")
     found = runtime.written(settled(finer, crowd, level + 1), "found")
@@ -275,19 +275,107 @@ def settled(kinds: DataFrame, crowd: int = CROWD, level: int = 0) -> DataFrame:
     return out.union(found.select("anchor", "block", (F.col("off") + F.col("at")).alias("at"), "n"))
 
 
+def gathered(rows: DataFrame) -> DataFrame:
+    """(anchor, block, n, one, last, places): blocks (anchor, block, h, h2, start, n) by kind within a task.
+
+    places: h, h2 and start of each, packed; one and last: the least and the
+    greatest of them.
+    """
+    place = pa.struct([("h", pa.int64()), ("h2", pa.int64()), ("start", pa.int64())])
+
+    def each(batches):
+        kept, size = [], 0
+        for batch in batches:
+            kept.append([batch.column(c).to_numpy() for c in ("anchor", "block", "n", "h", "h2", "start")])
+            size += batch.num_rows
+            if size > _FLUSH:
+                yield from sent(kept)
+                kept, size = [], 0
+        if size:
+            yield from sent(kept)
+
+    def sent(kept):
+        anchor, block, n, h, h2, start = [np.concatenate(c) for c in zip(*kept, strict=True)]
+        order = np.lexsort((start, h2, h, n, block, anchor))
+        anchor, block, n, h, h2, start = (c[order] for c in (anchor, block, n, h, h2, start))
+        head = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1]) | (n[1:] != n[:-1])))
+        ends = np.append(head[1:], len(n))
+        head = np.concatenate([np.arange(a, b, _PLACES) for a, b in zip(head.tolist(), ends.tolist(), strict=True)]) if (ends - head).max() > _PLACES else head
+        ends = np.append(head[1:], len(n))
+        raw = np.stack([h, h2, start], axis=1).astype("<i8").tobytes()
+        packed = [raw[24 * a : 24 * b] for a, b in zip(head.tolist(), ends.tolist(), strict=True)]
+        ends_of = lambda at: pa.StructArray.from_arrays([pa.array(c[at]) for c in (h, h2, start)], fields=list(place))
+        for i in range(0, len(head), 10_000):
+            s = slice(i, i + 10_000)
+            at, last = head[s], ends[s] - 1
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[at]), pa.array(block[at]), pa.array(n[at]), ends_of(at), ends_of(last), pa.array(packed[s], pa.binary())], names=["anchor", "block", "n", "one", "last", "places"])
+
+    return rows.select("anchor", "block", "n", "h", "h2", "start").mapInArrow(runtime.task(each), "anchor long, block long, n long, one struct<h:bigint,h2:bigint,start:bigint>, last struct<h:bigint,h2:bigint,start:bigint>, places binary")
+
+
+def placed(kinds: DataFrame, found: DataFrame) -> DataFrame:
+    """(h, h2, marks): for each text its marks (start, n), packed, from the marks of each kind of block at all its places."""
+    buckets = exchange.n_buckets(kinds)
+    # a block has at most as many marks as starts
+    lists = found.groupBy("anchor", "block").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("m"))
+    both = kinds.select("anchor", "block", "places").join(lists, ["anchor", "block"]).select("places", "at", "m")
+
+    def deal(batches):
+        kept, size = [], 0
+        for batch in batches:
+            raw, offsets = utf8(batch.column(0))
+            k = np.diff(offsets) // 24
+            own = np.frombuffer(raw[offsets[0] : offsets[-1]].tobytes(), "<i8").reshape(-1, 3)
+            ats, ms = batch.column(1), batch.column(2)
+            m = np.diff(ats.offsets.to_numpy())
+            at, n = ats.flatten().to_numpy(), ms.flatten().to_numpy()
+            begin, first = np.cumsum(k) - k, np.cumsum(m) - m
+            # every place of a kind with every mark of it
+            row = np.repeat(np.arange(len(k)), k * m)
+            inner = np.arange(len(row)) - np.repeat(np.cumsum(k * m) - k * m, k * m)
+            p, q = begin[row] + inner // m[row], first[row] + inner % m[row]
+            kept.append([own[p, 0], own[p, 1], own[p, 2] + at[q], n[q]])
+            size += len(row)
+            if size > _FLUSH:
+                yield from sent(kept)
+                kept, size = [], 0
+        if size:
+            yield from sent(kept)
+
+    def sent(kept):
+        h, h2, start, n = [np.concatenate(c) for c in zip(*kept, strict=True)]
+        yield from exchange.dealt(exchange.of_hash(mix(h.view(U64)), buckets), [h, h2, start, n], _MARK)
+
+    def settle(batches):
+        for _, payloads in exchange.by_bucket(batches):
+            h, h2, start, n = exchange.unpack(payloads, _MARK)
+            order = np.lexsort((start, h2, h))
+            h, h2, start, n = (c[order] for c in (h, h2, start, n))
+            head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])))
+            ends = np.append(head[1:], len(h))
+            raw = np.stack([start, n], axis=1).astype("<i8").tobytes()
+            for i in range(0, len(head), 10_000):
+                s = slice(i, i + 10_000)
+                packed = [raw[16 * a : 16 * b] for a, b in zip(head[s].tolist(), ends[s].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(h[head[s]]), pa.array(h2[head[s]]), pa.array(packed, pa.binary())], names=["h", "h2", "marks"])
+
+    return exchange.gathered(both.mapInArrow(runtime.task(deal), exchange.PACKED)).mapInArrow(runtime.task(settle), "h long, h2 long, marks binary")
+
+
 def marks(texts: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(h, h2, start, n): n consecutive starts of repeated 200-byte strings in distinct texts (h, h2, text)."""
+    """(h, h2, marks): the starts of repeated 200-byte strings of distinct texts (h, h2, text), as pairs of a start and how many follow."""
     every = runtime.written(anchored(texts), "anchors")
     place = F.struct("h", "h2", "start")
     several = every.groupBy("anchor").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("anchor")
     several = runtime.written(several, "several")  # by itself, so that a skewed join can be split
-    every2 = runtime.written(every.join(several, "anchor"), "anchors")
-    runtime.dropped(every)
-    kinds = every2.groupBy("anchor", "block").agg(F.min(F.struct("h", "h2", "start", "n")).alias("one"), F.max(place).alias("last"))
+    kinds = runtime.written(gathered(every.join(several, "anchor")), "kinds")
+    runtime.dropped(every, several)
+    whole = kinds.groupBy("anchor", "block", "n").agg(F.min("one").alias("one"), F.max("last").alias("last"))
     # two are as good as many: whether the block stands in more than one place
-    places = F.when(F.struct("one.h", "one.h2", "one.start") == F.col("last"), 1).otherwise(2).cast("long")
+    places = F.when(F.col("one") == F.col("last"), 1).otherwise(2).cast("long")
+    ask = whole.select("anchor", "block", "n", "one.*", places.alias("places")).groupBy(*_KEY).agg(F.collect_list(F.struct("anchor", "block", "start", "n", "places")).alias("asked"))
+
     # a text is asked for its own blocks only, so the list is bounded by its size
-    ask = kinds.select("anchor", "block", "one.*", places.alias("places")).groupBy(*_KEY).agg(F.collect_list(F.struct("anchor", "block", "start", "n", "places")).alias("asked"))
 
     def cut(batches):
         for batch in batches:
@@ -311,7 +399,9 @@ def marks(texts: DataFrame, crowd: int = CROWD) -> DataFrame:
     # rows repeated with one text hold the same bytes: one of them is enough
     pieces = runtime.written(asked.mapInArrow(runtime.task(cut), "anchor long, block long, places long, bytes binary").dropDuplicates(["anchor", "block"]), "pieces")
     found = runtime.written(settled(pieces, crowd), "found")
-    return every2.join(found.withColumnRenamed("n", "m"), ["anchor", "block"]).select(*_KEY, (F.col("start") + F.col("at")).alias("start"), F.col("m").alias("n"))
+    out = runtime.written(placed(kinds, found), "marks")
+    runtime.dropped(kinds, pieces, found)
+    return out
 
 
 def dedup(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -340,7 +430,7 @@ def dedup(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
                 if whole:
                     own, spans = b"", 1
                 elif marked[i].is_valid:
-                    start, n = spans_of(marked, i)
+                    start, n = np.frombuffer(marked[i].as_py(), "<i8").reshape(-1, 2).T
                     s, e = union_spans(start, start + n + LENGTH - 1)
                     spans, last, keep = len(s), 0, []
                     for a, b in zip(s.tolist(), e.tolist(), strict=True):
@@ -352,10 +442,8 @@ def dedup(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
             kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, kinds, strict=True)]], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    # a text has at most as many marks as blocks' parts, so its list is bounded by its size
-    each = found.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "n")).alias("marks"))
-    own = told.where(single).select("doc_id", "text", *_KEY).join(each, _KEY, "left").select("doc_id", "text", "marks", F.lit(False).alias("whole"))
-    again = told.where(~single).select("doc_id", "text", F.lit(None).cast("array<struct<start:bigint,n:bigint>>").alias("marks"), F.lit(True).alias("whole"))
+    own = told.where(single).select("doc_id", "text", *_KEY).join(found, _KEY, "left").select("doc_id", "text", "marks", F.lit(False).alias("whole"))
+    again = told.where(~single).select("doc_id", "text", F.lit(None).cast("binary").alias("marks"), F.lit(True).alias("whole"))
     return own.union(again).mapInArrow(runtime.task(rest), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
