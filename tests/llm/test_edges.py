@@ -647,3 +647,17 @@ def test_large_leaves_are_split(spark):
         assert len(got[i]) == 10
         found += [d[j] <= limit for j in got[i]]
     assert np.mean(found) >= 0.9
+
+
+def test_language_ties_and_very_long_texts(spark):
+    train = [(i, prose(40), lang) for i, lang in enumerate(["aa", "bb"] * 12)]
+    same = [(i, train[0][1], lang) for i, lang in enumerate(["bb", "aa"] * 12)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tied = langid.fit(frame(same))
+    assert [r["lang_pred"] for r in langid.identify(frame([(1, train[0][1], None)]), tied).collect()] == ["aa"]  # the first by name
+    other = [(100 + i, " ".join("xyzw"[(i + j) % 4] * 3 for j in range(40)), "xx") for i in range(24)]
+    model = langid.fit(frame(train + other))
+    long_ = " ".join([other[0][1]] * 9000)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(frame([(1, long_, None), (2, other[1][1], None), (3, "1 2 3", None)]), model).collect()}
+    assert len(long_) > 1 << 20 and got == {1: "xx", 2: "xx", 3: "und"}
+
