@@ -611,7 +611,11 @@ def split_anti_join(spark, sf_dir):
     return n.where("event_id % 5 <> 0").join(n.where("event_id % 5 = 0"), "name", "left_anti").select("name")
 
 
-@query(f"SELECT name, md5('20260818' || name) AS key FROM (SELECT DISTINCT name FROM ({_NAMES})) ORDER BY key, name LIMIT 500")
+_CRC = f"""SELECT name, 4294967295 - list_reduce(list_concat([0::BIGINT], list_transform(range(1, len(line) + 1), lambda i: ascii(line[i])::BIGINT), CASE WHEN len(line) > 255 THEN [len(line) % 256, len(line) // 256] ELSE [len(line)] END),
+  lambda c, b: xor((c & 16777215) * 256, {protocol._crc_table()}[xor(c >> 24, b) + 1]::BIGINT)) AS key FROM (SELECT name, '20260818:' || name AS line FROM (SELECT DISTINCT name FROM ({_NAMES})))"""
+
+
+@query(f"SELECT name, key FROM ({_CRC}) ORDER BY key, name LIMIT 500")
 def deterministic_sample(spark, sf_dir):
     return protocol.deterministic_sample(_names(spark, sf_dir).select("name").distinct(), "20260818", 500)
 

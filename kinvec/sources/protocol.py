@@ -145,9 +145,32 @@ def impersonated(video: Column) -> Column:
     return F.split_part(video, F.lit("_"), F.lit(2))
 
 
+def _crc_table() -> list[int]:
+    """The 256 remainders of the polynomial 0x04C11DB7, high bit first."""
+    out = []
+    for c in range(256):
+        r = c << 24
+        for _ in range(8):
+            r = (r << 1 ^ 0x04C11DB7 if r & 0x80000000 else r << 1) & 0xFFFFFFFF
+        out.append(r)
+    return out
+
+
+def cksum(text: Column) -> Column:
+    """The POSIX checksum of a text's UTF-8 bytes: they and then their number's, low one first."""
+    raw, n = F.hex(F.encode(text, "UTF-8")), F.octet_length(text)
+    byte = lambda i: F.conv(F.substring(raw, i * 2 - 1, F.lit(2)), 16, 10).cast("long")
+    own = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), byte)).otherwise(F.array().cast("array<bigint>"))
+    size = F.array_compact(F.array(*[F.when(n >= 256**k, F.pmod(F.floor(n / 256**k), F.lit(256)).cast("long")) for k in range(4)]))
+    table = F.array(*[F.lit(x) for x in _crc_table()])
+    top = lambda crc: F.shiftrightunsigned(crc, 24)
+    mixed = lambda crc, b: (crc.bitwiseAND(F.lit(0xFFFFFF)) * 256).bitwiseXOR(F.get(table, top(crc).bitwiseXOR(b).cast("int")))
+    return F.aggregate(F.concat(own, size), F.lit(0).cast("long"), mixed, lambda crc: F.lit(0xFFFFFFFF) - crc)
+
+
 def deterministic_sample(names: DataFrame, seed: str, n: int) -> DataFrame:
-    """The n names first by hash of seed and name."""
-    return names.select("name", F.md5(F.concat(F.lit(seed), "name")).alias("key")).orderBy("key", "name").limit(n)
+    """The n names first by checksum of seed:name."""
+    return names.select("name", cksum(F.concat(F.lit(f"{seed}:"), "name")).alias("key")).orderBy("key", "name").limit(n)
 
 
 def first_per(df: DataFrame, key: str, order: str, n: int) -> DataFrame:

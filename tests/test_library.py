@@ -195,6 +195,18 @@ def test_protocol(spark):
     long_ = spark.createDataFrame([(3, "b\t1\t12345"), (1, "9 9"), (2, "a 1 c 2")], "line_no int, value string")
     got = [tuple(r) for r in protocol.parse_pairs(long_).orderBy("pair_idx").collect()]
     assert got == [(0, "a/a_0001.jpg", "c/c_0002.jpg", False), (1, "b/b_0001.jpg", "b/b_12345.jpg", True)]
+    sums = spark.createDataFrame([("123456789",), ("",), ("x" * 300,), ("é",)], "v string").select(protocol.cksum(F.col("v"))).collect()
+    assert [r[0] for r in sums[:2]] == [930766865, 4294967295]
+
+    def plain(raw):
+        crc = 0
+        n = len(raw)
+        for b in raw + n.to_bytes((n.bit_length() + 7) // 8, "little"):
+            for k in range(7, -1, -1):
+                crc = (crc << 1 ^ (0x04C11DB7 if (crc >> 31 ^ b >> k) & 1 else 0)) & 0xFFFFFFFF
+        return 0xFFFFFFFF - crc
+
+    assert [r[0] for r in sums] == [plain(v.encode()) for v in ("123456789", "", "x" * 300, "é")]
     names = spark.createDataFrame([("a_b_0001.mp4",), ("a_b",), ("a_b_c.avi",), ("__x",)], "v string")
     assert [r[0] for r in names.select(protocol.target_of(F.col("v"))).collect()] == ["a", None, "a", None]
 
