@@ -43,12 +43,12 @@ from . import exchange, runtime
 from .text import U64, Chunk, Rolling, byte_codes, chunks, mix, ragged, sliding_min, union_spans, utf8
 
 LENGTH, ANCHORS, WORD = 200, (40, 120, 200), 8
-SHARD_BYTES, MERGE_BYTES, CROWD = 1 << 18, 1 << 21, 1024
+SHARD_BYTES, MERGE_BYTES, CROWD = 1 << 18, 1 << 20, 1024
 SEGMENT = 1 << 22
 _PLACE = U64((1 << 28) - 1)
 _OTHER = 0xD6E8FEB86659FD93
 _KEY = ["h", "h2"]
-_FLUSH, _PLACES, _MARK = 1 << 20, 1 << 16, "<i8 <i8 <u4 <u4"
+_FLUSH, _PLACES, _MARK = 1 << 18, 1 << 14, "<i8 <i8 <u4 <u4"
 _MARKS = "anchor long, block long, at long, n long"
 
 
