@@ -22,9 +22,19 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + x * x))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalise(v: Column) -> Column:
     """v over its length; empty and zero vectors raise."""
-    return F.when(norm(v) > MIN_NORM, F.transform(doubles(v), lambda x: x / norm(v))).otherwise(F.raise_error(F.lit("a zero or empty vector can't be normalised")).cast("array<double>"))
+    error = F.raise_error(F.lit("a zero or empty vector can't be normalised")).cast("array<double>")
+
+    def over(own: Column):
+        return lambda length: F.when(length > MIN_NORM, F.transform(own, lambda x: x / length)).otherwise(error)
+
+    return bound(doubles(v), lambda own: bound(norm(own), over(own)))
 
 
 def mean_by(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
@@ -38,7 +48,7 @@ def unit(seed: Column, dimension: int = 512) -> Column:
     """A unit vector that depends on the seed only: normal numbers by pairs of uniform ones from its hash."""
     uniform = lambda i, salt: (F.shiftrightunsigned(F.xxhash64(seed, i, F.lit(salt)), 11).cast("double") + 0.5) / float(1 << 53)
     normal = F.transform(F.sequence(F.lit(1), F.lit(dimension)), lambda i: F.sqrt(-2.0 * F.log(uniform(i, 1))) * F.cos(2.0 * F.pi() * uniform(i, 2)))
-    return F.transform(F.array(normal), lambda v: normalise(v))[0]
+    return normalise(normal)
 
 
 def measurement(total_ns: Column, iterations: Column) -> Column:
