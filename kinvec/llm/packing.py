@@ -28,7 +28,7 @@ from .text import chunks, ragged
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY, END_ID = 2048, 1
 _SPLITS = 256
-_WORDS_KEPT = 1_500_000
+_WORDS_KEPT = 500_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 

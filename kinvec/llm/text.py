@@ -44,6 +44,11 @@ def powers(n: int, base: int = _BASE, inverse: bool = False) -> np.ndarray:
     return have[:n]
 
 
+def forget() -> None:
+    """Let go of the powers kept; they are soon worked out again."""
+    _POW.clear()
+
+
 class Rolling:
     """Polynomial hashes modulo 2**64 of any range of a sequence, in O(1) each."""
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinvec.llm import ann, embed_dedup, langid, license_scan, ngram_join, packing, quality_fm, runtime, substring_dedup, suffix_dedup, unigram
+from kinvec.llm import ann, embed_dedup, langid, license_scan, ngram_join, packing, quality_fm, runtime, substring_dedup, suffix_dedup, text, unigram
 
 RNG = random.Random(5)
 WORDS = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randint(2, 7))) for _ in range(300)]
@@ -675,3 +675,20 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not files() - before
     assert out.agg(F.sum("count")).first()[0] == 20_000
+
+
+def test_what_a_worker_keeps_is_bounded():
+    class Plain(packing.WordStore):
+        def _learn(self, words):
+            for k, w in enumerate(words):
+                self.word[w] = self.n + k
+            self._add([[len(w)] for w in words])
+
+    store = Plain(packing._WORDS_KEPT)
+    for i in range(0, 1_200_000, 40_000):
+        ids, sizes = store._ids([f"{k:x}" for k in range(i, i + 40_000)], [40_000])
+        assert sizes.tolist() == [40_000] and ids[-1] == len(f"{i + 39_999:x}")
+        assert store.n <= 600_000
+    text.powers(1 << 20)
+    list(runtime.task(lambda batches: iter(batches))([1]))
+    assert not text._POW
