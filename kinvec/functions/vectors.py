@@ -53,8 +53,9 @@ def unit(seed: Column, dimension: int = 512) -> Column:
 
 def measurement(total_ns: Column, iterations: Column) -> Column:
     """struct(avg_ns, avg_us, avg_ms, per_second) of a timed run."""
-    avg = total_ns.cast("double") / iterations
-    return F.struct(avg.alias("avg_ns"), (avg / 1e3).alias("avg_us"), (avg / 1e6).alias("avg_ms"), F.try_divide(F.lit(1e9), avg).alias("per_second"))
+    avg, total = total_ns.cast("double") / iterations, total_ns.cast("double")
+    rate = F.when(total == 0, F.lit(float("inf"))).otherwise(F.try_divide(iterations * F.lit(1e9), total))  # rounded once
+    return F.struct(avg.alias("avg_ns"), (avg / 1e3).alias("avg_us"), (avg / 1e6).alias("avg_ms"), rate.alias("per_second"))
 
 
 def projected_cost(users: Column, avg_ms: Column, workers: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, vectors
@@ -34,8 +34,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def six_places(c: Column) -> Column:
+    """c rounded as DuckDB does it: c * 1e6 to the nearest whole number, halves away from zero, over 1e6."""
+    y = c * 1e6
+    whole = F.when(F.abs(y - F.rint(y)) == 0.5, y + F.signum(y) * 0.5).otherwise(F.rint(y))
+    return F.when(F.abs(y) == float("inf"), c).otherwise(whole / 1e6)
+
+
 def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    return df.withColumns({n: six_places(F.col(n)) for n in names})
 
 
 def longs(df: DataFrame, *names: str) -> DataFrame:
@@ -56,7 +63,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("a_id", "b_id", "same", F.round(vectors.dot(F.col("a"), F.col("b")), 6).alias("score"))
+    return rounded(_pairs(spark, sf_dir).select("a_id", "b_id", "same", vectors.dot(F.col("a"), F.col("b")).alias("score")), "score")
 
 
 _SCORED = f"SELECT a_id, b_id, same, round(list_dot_product(a, b), 6) AS score FROM ({_PAIR})"

@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 from kinvec.functions import geometry, vectors
 from kinvec.operators import identity, metrics, ordered, reports, scoring, slots, tracking
 from kinvec.operators.tracking import Tracker
+from kinvec.plans import queries
 from kinvec.sources import protocol, store
 
 
@@ -263,3 +265,19 @@ def test_similarity_is_the_least_squares_one(spark):
         assert np.allclose(np.array(got).reshape(2, 3), want)
     with pytest.raises(Exception, match="one place"):
         spark.range(1).select(geometry.similarity(F.array(*[F.lit(1.0)] * 10))).collect()
+
+
+def test_rates_that_end_in_a_half(spark, tmp_path):
+    """Prices whose rate lies at half a millionth, against the query's own SQL; a run of no time."""
+    prices = [133921.81, 248596.12, 352524.17, 448000.0, 64000.0, 1.0, 0.01]
+    (tmp_path / "sf").mkdir()
+    spark.createDataFrame(list(enumerate(prices)), "o_orderkey long, o_totalprice double").write.parquet(str(tmp_path / "sf/orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/sf/orders.parquet/*.parquet'")
+    want = sorted(con.execute(queries.ORACLES["timed_costs"]).fetchall())
+    assert sorted(map(tuple, queries.timed_costs(spark, str(tmp_path / "sf")).collect())) == want
+    m = spark.range(1).select(vectors.measurement(F.lit(0), F.lit(7)).alias("m")).first()["m"]
+    assert m["per_second"] == float("inf")
+    halves = spark.createDataFrame([(i, s * (k + 0.5) / 1e6) for i, (s, k) in enumerate((s, k) for s in (1, -1) for k in range(2000))], "i long, x double")
+    con.register("h", halves.toPandas())
+    assert sorted(map(tuple, queries.rounded(halves, "x").collect())) == sorted(con.execute("SELECT i, round(x, 6) FROM h").fetchall())
