@@ -5,9 +5,11 @@ A set is what one person offers at once, some tens of vectors, so it is one task
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, mean_by
@@ -60,13 +62,20 @@ def select(sets: DataFrame, count: int = CAP) -> DataFrame:
     return sets.select("set_id", "idx", "embedding").groupBy("set_id").applyInPandas(one, f"set_id {kind['set_id']}, pick int, idx {kind['idx']}")
 
 
-def decide(sets: DataFrame, minimum: int = MINIMUM) -> DataFrame:
-    """(set_id, n, outcome, reason): too few vectors, then inconsistent ones, are rejected; an accepted set has no reason."""
+def three_places(similarity: Column) -> Column:
+    return F.format_string("%.3f", similarity)
+
+
+def decide(sets: DataFrame, minimum: int = MINIMUM, shown: Callable[[Column], Column] = three_places) -> DataFrame:
+    """(set_id, n, outcome, reason): too few vectors, then inconsistent ones, are rejected; an accepted set has no reason.
+
+    shown: how a reason writes the lowest similarity.
+    """
     c = consistency(sets)
     few = F.format_string("%d usable photographs, at least %d required", "n", F.lit(minimum))
     who = F.when(F.col("outliers") == 0, F.lit("the photographs do not all show the same person")).when(F.col("outliers") == 1, F.lit("1 photograph shows a different person"))
     who = who.otherwise(F.format_string("%d photographs show a different person", "outliers"))
-    mixed = F.concat(who, F.format_string(" (lowest similarity %.3f)", "min_similarity"))
+    mixed = F.concat(who, F.lit(" (lowest similarity "), shown(F.col("min_similarity")), F.lit(")"))
     outcome = F.when(F.col("n") < minimum, TOO_FEW).when(F.col("verdict") == "Mixed", MIXED).otherwise(ACCEPTED)
     return c.select("set_id", "n", outcome.alias("outcome"), F.when(F.col("n") < minimum, few).when(F.col("verdict") == "Mixed", mixed).alias("reason"))
 

@@ -437,7 +437,9 @@ _DECIDE = f"""SELECT set_id, n, CASE WHEN n < 3 THEN 'RejectedTooFewPhotos' WHEN
 
 @query(_DECIDE)
 def enrolment_decision(spark, sf_dir):
-    return identity.decide(_sets(spark, sf_dir))
+    # as printf of the SQL: the similarity at 6 places, then the binary value of that at 3, which Java's formats do not show
+    printf = F.udf(lambda x: None if x is None else f"{x:.3f}", "string")
+    return identity.decide(_sets(spark, sf_dir), shown=lambda s: printf(six_places(s)))
 
 
 @query(f"SELECT outcome, count(*) AS sets, sum(n)::BIGINT AS photos FROM ({_DECIDE}) GROUP BY outcome")

@@ -281,3 +281,18 @@ def test_rates_that_end_in_a_half(spark, tmp_path):
     halves = spark.createDataFrame([(i, s * (k + 0.5) / 1e6) for i, (s, k) in enumerate((s, k) for s in (1, -1) for k in range(2000))], "i long, x double")
     con.register("h", halves.toPandas())
     assert sorted(map(tuple, queries.rounded(halves, "x").collect())) == sorted(con.execute("SELECT i, round(x, 6) FROM h").fetchall())
+
+
+def test_similarities_at_half_a_thousandth(spark, tmp_path):
+    """Sets of which the lowest similarity lies at or just below a half, against the query's own SQL."""
+    rows = []
+    for k in range(-990, 174):
+        for j, c in enumerate((k / 1000 + 0.0005, k / 1000 + 0.0005 - 3e-7)):
+            base = ((k + 990) * 2 + j) * 6
+            rows += [(base + i, [float(x) for x in v], 0) for i, v in enumerate(((1, 0), (1, 0), (c, (1 - c * c) ** 0.5)))]
+    (tmp_path / "sf").mkdir()
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "sf/embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/sf/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(queries.ORACLES["enrolment_decision"]).fetchall())
+    assert len(want) == 2328 and sorted(map(tuple, queries.enrolment_decision(spark, str(tmp_path / "sf")).collect())) == want
