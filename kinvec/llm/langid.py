@@ -15,10 +15,10 @@ N-grams are counted over the whole texts of all labelled documents outside fold
 of the corpus; totals, kinds and continuation counts are of all of them too.  Who
 asks for a `min_share` gets a smaller model: the rarer n-grams of the highest
 order then leave it, after all statistics are taken.  A rejection limit is
-calibrated on a hash-chosen sample of the same documents (`calibration_docs` a
-language), scored on the executors, of which only figures come back: a text is
-rejected when its cross-entropy lies above what practically all documents of its
-language have, allowing for short texts.
+calibrated on all the same documents, scored on the executors, of which only
+figures come back: a text is rejected when its cross-entropy lies well above what
+any document of its language has, allowing for short texts.  Who asks for
+`calibration_docs` has about so many a language scored instead.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ from . import runtime
 from .text import U64, chunks, mix
 
 ORDER = 4
-CALIBRATION_DOCS = 400
 _MERGE = 1 << 20
 FOLDS = 5
 UNKNOWN = "und"
@@ -279,10 +278,9 @@ def counted(train: DataFrame, order: int = ORDER) -> DataFrame:
     return train.select("text", "lang").mapInArrow(runtime.task(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(documents: DataFrame, order: int = ORDER, min_share: float = 0.0, calibration_docs: int = CALIBRATION_DOCS) -> Model | None:
+def fit(documents: DataFrame, order: int = ORDER, min_share: float = 0.0, calibration_docs: int | None = None) -> Model | None:
     """Models of all languages of the labelled documents (doc_id, text, lang) outside fold 0; None without any."""
     train = documents.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     grams = runtime.written(counted(train, order), "grams")
     rows = grams.toArrow()
     runtime.dropped(grams)
@@ -307,15 +305,24 @@ def fit(documents: DataFrame, order: int = ORDER, min_share: float = 0.0, calibr
                 best = e.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(e[np.arange(len(e)), best]), pa.array(span[2])], names=["best", "entropy", "size"])
 
-    # at most calibration_docs rows of three numbers a language
-    held = sampled(train, sizes, calibration_docs, 2).select("text").mapInArrow(runtime.task(figures), "best long, entropy double, size long").toArrow()
-    best, least, size = (held[c].to_numpy() for c in ("best", "entropy", "size"))
-    best, least, size = best[size > 0], least[size > 0], size[size > 0]
-    for j in range(len(model.languages)):
-        mine = least[best == j]
-        if len(mine) > 1:
-            model.mean[j], model.spread[j] = np.median(mine), max(np.std(mine), 1e-3)
-    model.limit = float(np.max(model.excess(least, best, size), initial=3.0)) * 2.5
+    held = train
+    if calibration_docs is not None:
+        sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+        held = sampled(train, sizes, calibration_docs, 2)
+    # three numbers a document; what reaches the driver is a row a language, then one number
+    held = runtime.written(held.select("text").mapInArrow(runtime.task(figures), "best long, entropy double, size long").where("size > 0"), "figures")
+    for r in held.groupBy("best").agg(F.count(F.lit(1)).alias("n"), F.avg("entropy").alias("mean"), F.stddev_pop("entropy").alias("spread")).where("n > 1").collect():
+        model.mean[r["best"]], model.spread[r["best"]] = r["mean"], max(r["spread"], 1e-3)
+    scale = Model(model.languages, [], order, model.mean, model.spread)
+
+    def furthest(batches):
+        for batch in batches:
+            best, entropy, size = (c.to_numpy() for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array([np.max(scale.excess(entropy, best, size), initial=3.0)])], names=["excess"])
+
+    most = held.mapInArrow(runtime.task(furthest), "excess double").agg(F.max("excess").alias("excess")).first()["excess"]
+    model.limit = (3.0 if most is None else most) * 2.5
+    runtime.dropped(held)
     shared.unpersist()
     return model
 

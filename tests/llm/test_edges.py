@@ -692,3 +692,16 @@ def test_what_a_worker_keeps_is_bounded():
     text.powers(1 << 20)
     list(runtime.task(lambda batches: iter(batches))([1]))
     assert not text._POW
+
+
+def test_the_rejection_limit_is_of_all_documents(spark):
+    """Of 1500 documents a sample of 400 would leave most out: mean, spread and greatest excess are of all outside fold 0."""
+    rows = [(i, prose(3 + i % 40), "aa") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    own = langid.identify(df.where(langid.fold(F.col("doc_id")) != 0), model).toPandas()
+    assert len(own) > 1000
+    assert abs(model.mean[0] - own["entropy"].mean()) < 1e-9 and abs(model.spread[0] - own["entropy"].std(ddof=0)) < 1e-9
+    size = {i: sum(c.isalpha() for c in t) for i, t, _ in rows}
+    excess = model.excess(own["entropy"].to_numpy(), np.zeros(len(own), int), own["doc_id"].map(size).to_numpy())
+    assert abs(model.limit - 2.5 * max(3.0, excess.max())) < 1e-9
