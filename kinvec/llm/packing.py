@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import runtime
-from .text import chunks, ragged
+from .text import Chunk, chunks, lower_az, ragged
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY, END_ID = 2048, 1
 _SPLITS = 256
 _WORDS_KEPT = 500_000
+_CHUNK = 1 << 21
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -45,7 +46,7 @@ class WordStore:
         self._forget()
 
     def _forget(self) -> None:
-        self.word, self.piece = _Index({"": 0}), _Index()
+        self.word = _Index({"": 0})
         self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used, self.n = np.zeros(4096, np.uint32), 0, 1
 
@@ -94,82 +95,106 @@ def _word_pattern(path: str) -> str:
     raise ValueError(f"{path}: not a tokenizer of lower-case words between blanks, which is the only kind known here")
 
 
+#: The one pre-token pattern whose pieces are told apart by bytes; words of any other go to the tokenizer whole.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BLANK, _LETTER, _FIGURE, _MARK, _WHOLE = range(5)
+_C3, _TIMES, _OVER, _LT, _BAR = 0xC3, 0x97, 0xB7, ord("<"), ord("|")
+
+
+def _kinds(pattern: str) -> np.ndarray:
+    """The kind of each byte: letters are A-Z, a-z and, of two bytes, U+00C0 to U+00FF."""
+    kinds = np.full(256, _WHOLE, dtype=np.uint8)
+    kinds[[9, 10, 11, 12, 13, 32]] = _BLANK
+    if pattern == _PATTERN:
+        kinds[33:127] = _MARK
+        kinds[48:58] = _FIGURE
+        kinds[65:91] = kinds[97:123] = kinds[0x80:0xC0] = kinds[_C3] = _LETTER
+        kinds[ord("'")] = _WHOLE  # 's and the like are pieces of their own
+    return kinds
+
+
 class WordTokenizer(WordStore):
     """Ids of whole texts by a tokenizer whose tokens never span white space.
 
-    The ids of each blank-separated word are kept, so a text costs one look-up a
-    word.  Words wholly of letters below U+0250, figures and ASCII marks share
-    what their lower-case pre-tokens have; any other word goes to the tokenizer
-    as it is.  Memory is bounded: beyond `keep` words what is kept is forgotten.
+    Texts are cut by their bytes, many at a time, into lower-case pre-tokens: a
+    run of letters, a figure, a run of marks.  A blank-separated word that holds
+    anything but ASCII and the letters U+00C0 to U+00FF, or an apostrophe or
+    "<|", is one unit as it stands.  Arrow finds the distinct units of a chunk;
+    their ids are kept, new pre-tokens get theirs from the model and new words
+    from the whole tokenizer.  Memory is bounded: beyond `keep` units what is
+    kept is forgotten.
     """
 
     def __init__(self, path: str, keep: int = _WORDS_KEPT):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.pretoken = regex.compile(_word_pattern(path))
-        self.simple = regex.compile(r"[!-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0132-\u024f]+").fullmatch
+        self.kinds = _kinds(_word_pattern(path))
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabet: these stand for themselves
         hidden = iter(range(256, 512))
         self.alphabet = {b: b if b in shown else next(hidden) for b in range(256)}
         super().__init__(keep)
 
-    def _pieces(self, lack: list[str]) -> None:
+    def _units(self, part: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes without blanks, start and kind of each unit in them, units before each row's end)."""
+        data, n = part.data, len(part.data)
+        kind = self.kinds[data]
+        edge = np.zeros(n + 1, dtype=bool)
+        edge[part.offsets] = True
+        after = data[:-1] == _C3
+        odd = kind == _WHOLE
+        odd[1:] |= after & ((data[1:] == _TIMES) | (data[1:] == _OVER))
+        odd[:-1] |= (data[:-1] == _LT) & (data[1:] == _BAR) & ~edge[1:n]
+        low = lower_az()[data]
+        low[1:] += (after & (data[1:] >= 0x80) & (data[1:] <= 0x9E)).view(np.uint8) << 5
+        inside = kind != _BLANK
+        if odd.any():
+            begin = inside.copy()
+            begin[1:] &= ~inside[:-1] | edge[1:n]
+            end = inside.copy()
+            end[:-1] &= ~inside[1:] | edge[1:n]
+            begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
+            words = np.unique(np.searchsorted(begin, np.flatnonzero(odd), side="right") - 1)
+            own = ragged(begin[words], end[words] - begin[words])
+            kind[own], low[own] = _WHOLE, data[own]
+        new = inside & ((kind == _FIGURE) | edge[:n])
+        new[1:] |= inside[1:] & (kind[1:] != kind[:-1])
+        start = np.flatnonzero(new)
+        blanks = np.append(0, np.cumsum(~inside))
+        return low[inside], start - blanks[start], kind[start], np.searchsorted(start, part.offsets[1:])
+
+    def _learn(self, units: list[bytes], kinds: np.ndarray) -> None:
+        whole = kinds == _WHOLE
+        parts = [units[i] for i in np.flatnonzero(~whole).tolist()]
+        words = [units[i] for i in np.flatnonzero(whole).tolist()]
         tokenize, alphabet, n = self.model.tokenize, self.alphabet, self.n
-        found = [[t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(alphabet))] for p in lack]
-        self._add(found)
-        for k, p in enumerate(lack):
-            self.piece[p] = n + k
-
-    def _learn(self, words: list[str]) -> None:
-        whole, alone, mixed, lack = [], [], [], {}
-        piece, word = self.piece, self.word
-        for w in words:
-            if not self.simple(w) or "<|" in w:
-                whole.append(w)
-            elif w.isalpha():
-                alone.append((w, p := w.lower()))
-                if p not in piece:
-                    lack[p] = None
-            else:
-                mixed.append((w, own := self.pretoken.findall(w.lower())))
-                for p in own:
-                    if p not in piece:
-                        lack[p] = None
-        self._pieces(list(lack))
-        for w, p in alone:
-            word[w] = piece[p]
-        found = [self.flat[ragged(self.starts[at], self.sizes[at])].tolist() if len(own) > 2 else self._two(own) for _, own in mixed for at in [[piece[p] for p in own]]]
-        if whole:
-            found += [e.ids for e in self.tokenizer.encode_batch(whole, add_special_tokens=False)]
-        for k, w in enumerate([w for w, _ in mixed] + whole):
-            word[w] = self.n + k
+        found = [[t.id for t in tokenize(p.decode() if p.isascii() else p.decode("latin-1").translate(alphabet))] for p in parts]
+        if words:
+            found += [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
         self._add(found)
-
-    def _two(self, own: list[str]) -> list[int]:
-        out = []
-        for p in own:
-            i = self.piece[p]
-            out += self.flat[self.starts[i] : self.starts[i] + self.sizes[i]].tolist()
-        return out
-
-    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after another, and how many each has."""
-        words: list[str] = []
-        ends = []
-        for text in texts:
-            if text:
-                for blank in "\n\t\r\x0b\x0c":
-                    if blank in text:
-                        text = text.replace(blank, " ")
-                words += text.split(" ")
-            ends.append(len(words))
-        return self._ids(words, ends)
+        self.word.update(zip(parts + words, range(n, self.n), strict=True))
+
+    def encode(self, part: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a chunk, one after another, and how many each has."""
+        data, start, kind, ends = self._units(part)
+        offsets = np.append(start, len(data))
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        code, names = units.indices.to_numpy(), units.dictionary.to_pylist()
+        if self.n > self.keep:
+            self._forget()
+        index = np.fromiter(map(self.word.__getitem__, names), np.int64, len(names))
+        if len(miss := np.flatnonzero(index < 0)):
+            kinds = np.zeros(len(names), np.uint8)
+            kinds[code] = kind
+            self._learn([names[i] for i in miss.tolist()], kinds[miss])
+            index[miss] = [self.word[names[i]] for i in miss.tolist()]
+        index = index[code]
+        sizes = self.sizes[index]
+        return self.flat[ragged(self.starts[index], sizes)], np.diff(np.append(0, np.append(0, np.cumsum(sizes))[ends]))
 
     def __call__(self, text: str) -> np.ndarray:
-        return self.batch([text])[0]
+        return self.encode(next(chunks(pa.array([text], pa.string()))))[0]
 
 
 def _tokenizer(path: str) -> WordTokenizer:
@@ -191,11 +216,11 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = C
     """
 
     def cut(batches):
-        encode = _tokenizer(tokenizer or default_tokenizer())
+        tokenizer_ = _tokenizer(tokenizer or default_tokenizer())
         for batch in batches:
             out: list[list[int]] = [[], [], [], [], []]
-            for part in chunks(batch.column(1)):
-                flat, sizes = encode.batch(batch.column(1).slice(part.rows.start, len(part)).to_pylist())
+            for part in chunks(batch.column(1), _CHUNK):
+                flat, sizes = tokenizer_.encode(part)
                 at = 0
                 for doc, size in zip(batch.column(0).slice(part.rows.start, len(part)).to_pylist(), sizes.tolist(), strict=True):
                     ids = np.append(flat[at : at + size], np.uint32(end_id)).astype("<u4")

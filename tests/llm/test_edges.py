@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,6 +298,30 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_units_of_odd_words_are_those_of_the_tokenizer():
+    """Texts cut by bytes give the ids of the whole tokenizer."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(4)
+    odd = ["a", "É", "é", "×", "÷", "ß", "À", "'", "'s", "'ll", "<|", "<", "|", "<|endoftext|>", " ", "\n", "\u00a0", "\x0b", "\x85", "1", "23", "½", "İ", "ſ", "e\u0301", "中", "…", ".", "!?", "\x00", "_", "Σ", "the", "Hello"]
+    texts = [None, "", "  ", "É", *["".join(r.choices(odd, k=r.randint(1, 12))) for _ in range(3000)]]
+    tokenizer, own = Tokenizer.from_file(packing.default_tokenizer()), packing.WordTokenizer(packing.default_tokenizer())
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [own(t).tolist() for t in texts] == want
+    for target in (40, 1 << 20):  # rows that share a chunk never share a word
+        found = [own.encode(part) for part in text.chunks(pa.array(texts), target)]
+        assert np.concatenate([ids for ids, _ in found]).tolist() == [i for ids in want for i in ids]
+        assert np.concatenate([n for _, n in found]).tolist() == list(map(len, want))
+
+
+def test_a_word_is_learned_once():
+    """Its case and the marks beside it do not make it another word."""
+    own = packing.WordTokenizer(packing.default_tokenizer())
+    before, words = own.n, [f"q{chr(97 + i // 26)}{chr(97 + i % 26)}zx" for i in range(600)]
+    own(" ".join(mark.join((kind(w), "")) for w in words for kind in (str.lower, str.upper, str.title) for mark in (",", ".", ";", "!?", "")))
+    assert own.n - before <= 604
+
+
 def test_bin_slack():
     out = packing.patterns({5: 3, 7: 2, 3: 4, 10: 1}, 10)
     assert Counter({k: sum(own.get(k, 0) * n for own, n in out) for k in (3, 5, 7, 10)}) == Counter({5: 3, 7: 2, 3: 4, 10: 1})
