@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import runtime
-from .text import U64
+from .text import U64, mix
 
 PACKED = "bucket int, payload binary"
+PROBES, MOST_BITS, SHARDS = 2, 30, 16
 
 
 def pack(columns: list[np.ndarray], dtypes: str) -> bytes:
@@ -81,3 +82,44 @@ def by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[byt
             payloads.append(payload)
     if payloads:
         yield now, payloads
+
+
+class Members:
+    """A Bloom filter of hashes: `may` is true of every member, and of few others while bits are many."""
+
+    def __init__(self, table: np.ndarray, bits: int):
+        self.table, self.bits = table, bits
+
+    def may(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), dtype=bool)
+        for at in probes(h, self.bits):
+            out &= (self.table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(mix(h.view(U64) + U64(0x6A09E667F3BCC909 + i)) >> U64(64 - bits)).astype(np.int64) for i in range(PROBES)]
+
+
+def members(hashes: DataFrame, n: int, most_bits: int = MOST_BITS) -> Members:
+    """The filter of n hashes (one long column): 16 bits or more each, 2**most_bits (128 MB) in all at most."""
+    bits = min(most_bits, max(10, (16 * n).bit_length()))
+    per = (1 << bits) // SHARDS
+
+    def placed(batches):
+        for batch in batches:
+            at = np.unique(np.concatenate(probes(batch.column(0).to_numpy(), bits)))
+            yield from dealt(at // per, [at % per], "<u4")
+
+    def merge(batches):
+        for bucket, payloads in by_bucket(batches):
+            own = np.zeros(per, dtype=bool)
+            for p in payloads:
+                own[np.frombuffer(p, "<u4")] = True
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], names=["bucket", "payload"])
+
+    packed = hashes.mapInArrow(runtime.task(placed), PACKED).repartition(SHARDS, "bucket").sortWithinPartitions("bucket")
+    out = np.zeros((SHARDS, per // 8), dtype=np.uint8)
+    for bucket, payload in packed.mapInArrow(runtime.task(merge), PACKED).toLocalIterator():
+        out[bucket] = np.frombuffer(payload, np.uint8)
+    return Members(out.reshape(-1), bits)

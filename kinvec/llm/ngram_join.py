@@ -12,8 +12,8 @@ An empty signature tells nothing, and many sets would share it.  A set whose
 ranges are full enough (2 * ranges with at most one empty part > k) is met by a
 signature that is not empty, so only the few other sets emit empty ones.
 
-Sets of one signature meet, and each goes to the least of them, its pivot.  The
-sets of a pivot are compared exactly within a task, by an inverted index over
+Sets of one signature meet, and each goes to the least of them, its pivot; a
+pivot whose sets all belong to a lesser one is left out.  The sets of a pivot are compared exactly within a task, by an inverted index over
 their shingles and a union-find: a set asks for others only while some set of
 fitting size is in another component, and only the links that join two
 components leave the task.  The sets of a large pivot are cut into blocks of
@@ -194,12 +194,34 @@ def pivoted(documents: DataFrame) -> DataFrame:
     return exchange.gathered(packed).mapInArrow(runtime.task(meet), "pivot long, sid long").distinct()
 
 
-def _contents(documents: DataFrame) -> DataFrame:
-    """(sid, n, shingles) of documents (text)."""
+def needed(members: DataFrame) -> DataFrame:
+    """members (pivot, sid, n) without the pivots of which every set also belongs to a lesser one: all their pairs meet there.
+
+    The lesser one is the least pivot that a pivot itself belongs to; it may be
+    left out in turn, for one that holds all of its own.
+    """
+    above = members.where("pivot <> sid").groupBy(F.col("sid").alias("pivot")).agg(F.min("pivot").alias("above"))
+    there = members.select(F.col("pivot").alias("above"), "sid", F.lit(1).alias("there"))
+    asked = members.join(above, "pivot").join(there, ["above", "sid"], "left")
+    gone = asked.groupBy("pivot").agg(F.count(F.lit(1)).alias("all"), F.count("there").alias("held")).where("all = held").select("pivot")
+    return members.join(gone, "pivot", "left_anti")
+
+
+def _contents(documents: DataFrame, own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, n, shingles) of the wanted sets (sid) and of a few more, each once.
+
+    own: (sid, t), t of one document (t, text) that has the set.  The texts stay
+    where they are: a Bloom filter of the t wanted goes to them, and only sets
+    are shuffled.  What it lets through besides has a sid that is not wanted.
+    """
+    keys = runtime.written(wanted.distinct().join(own.select("sid", "t"), "sid").select("t"), "keys")
+    found = documents.sparkSession.sparkContext.broadcast(exchange.members(keys, keys.count()))
+    runtime.dropped(keys)
 
     def each(batches):
         for batch in batches:
-            for part in chunks(batch.column(0)):
+            batch = batch.filter(pa.array(found.value.may(batch.column(0).to_numpy())))
+            for part in chunks(batch.column(1)):
                 row, h = shingles(part)
                 size, sid = set_ids(row, h, len(part))
                 end = np.cumsum(size)
@@ -209,7 +231,7 @@ def _contents(documents: DataFrame) -> DataFrame:
                     names=["sid", "n", "shingles"],
                 )
 
-    return documents.mapInArrow(runtime.task(each), "sid long, n long, shingles binary")
+    return documents.select("t", "text").mapInArrow(runtime.task(each), "sid long, n long, shingles binary").dropDuplicates(["sid"])
 
 
 def joining(h: np.ndarray, n: np.ndarray, c: np.ndarray, asking: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -338,20 +360,22 @@ def join(documents: DataFrame, share: int = SHARE) -> DataFrame:
     fewer than five words is one shingle; rows repeated with one doc_id are each
     returned.
     """
-    docs = runtime.plain(documents, doc_id="long", text="string").withColumn("t", F.xxhash64("text"))
+    docs = runtime.plain(documents, doc_id="long", text="string").withColumn("t", F.xxhash64("doc_id", "text"))
     each = runtime.written(sets(docs), "sets")
     own = each.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.min("t").alias("t"), F.min("n").alias("n"))
-    members = runtime.written(pivoted(docs).join(own.select("sid", "n"), "sid"), "members")
+    met = runtime.written(pivoted(docs).join(own.select("sid", "n"), "sid"), "met")
+    members = runtime.written(needed(met), "members")
+    runtime.dropped(met)
 
-    wanted = members.select("sid").distinct().join(own, "sid").select("t").distinct()
-    contents = runtime.written(_contents(docs.join(wanted, "t", "left_semi").select("text")).dropDuplicates(["sid"]), "contents")
-    links = runtime.written(_links(first_shares(members, share).join(contents, "sid")), "links")
+    links = runtime.written(_links(first_shares(members, share).join(_contents(docs, own, members.select("sid")), "sid")), "links")
     labels = runtime.components(links, "near")
-    more = runtime.written(_links(second_shares(members, labels, share).join(contents, "sid")), "links")
-    if more.limit(1).count():
-        links = links.union(more)
-        labels = runtime.components(links, "near")
-    runtime.dropped(members, contents)
+    second = runtime.written(second_shares(members, labels, share), "shares")
+    if second.limit(1).count():
+        more = runtime.written(_links(second.join(_contents(docs, own, second.select("sid")), "sid")), "links")
+        if more.limit(1).count():
+            links = links.union(more)
+            labels = runtime.components(links, "near")
+    runtime.dropped(members, second)
 
     least = own.join(labels.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "doc", F.coalesce("component", "sid").alias("c"))
     first = least.groupBy("c").agg(F.min("doc").alias("component_id"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinvec.llm import ann, embed_dedup, langid, license_scan, ngram_join, packing, quality_fm, runtime, substring_dedup, suffix_dedup, text, unigram
+from kinvec.llm import ann, embed_dedup, exchange, langid, license_scan, ngram_join, packing, quality_fm, runtime, substring_dedup, suffix_dedup, text, unigram
 
 RNG = random.Random(5)
 WORDS = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randint(2, 7))) for _ in range(300)]
@@ -253,6 +253,53 @@ def test_shares_of_any_size_lose_no_link(spark):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(df, share).collect()} == want
 
 
+def test_texts_without_a_partner_are_not_shuffled(spark, monkeypatch):
+    """Only the sets that meet others leave the tasks, though the table of them is too large to be broadcast by Spark."""
+    alone = [(i, " ".join(f"{RNG.getrandbits(40):x}" for _ in range(400))) for i in range(400)]
+    near = prose(400)
+    df = spark.createDataFrame([*alone, (900, near), (901, near + " more"), (902, near), (902, near)], "doc_id long, text string")
+    moved, write = {}, runtime.written
+
+    def sent():
+        time.sleep(0.5)
+        return sum(x.totalShuffleWrite() for x in [spark._jsc.sc().statusStore().executorList(False).apply(0)])
+
+    def counted(table, name):
+        before = sent()
+        out = write(table, name)
+        moved[name] = moved.get(name, 0) + sent() - before
+        return out
+
+    monkeypatch.setattr(runtime, "written", counted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: i for i, _ in alone} | {900: 900, 901: 900, 902: 900}
+    assert moved["met"] > 500_000  # signatures of all
+    assert moved["links"] + moved.get("contents", 0) + moved.get("keys", 0) < 200_000
+
+
+def test_pivots_whose_sets_all_meet_elsewhere_are_left_out(spark):
+    groups = {1: [1, 2, 3, 4], 2: [2, 3], 3: [3, 4, 5], 5: [5, 6], 4: [4], 7: [7, 8, 9], 8: [8, 9]}
+    rows = spark.createDataFrame([(p, s, 1) for p, own in groups.items() for s in own], "pivot long, sid long, n long")
+    left = defaultdict(set)
+    for r in ngram_join.needed(rows).collect():
+        left[r["pivot"]].add(r["sid"])
+    assert left == {p: set(groups[p]) for p in (1, 3, 5, 7)}
+
+
+def test_a_filter_of_hashes_loses_none(spark):
+    hashes = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 20_000)
+    for most in (30, 12):  # bits enough, and far too few
+        found = exchange.members(spark.createDataFrame([(int(h),) for h in hashes[:5_000]], "t long"), 5_000, most)
+        assert found.may(hashes[:5_000]).all()
+        assert most == 12 or found.may(hashes[5_000:]).mean() < 0.05
+    nothing = exchange.members(spark.createDataFrame([], "t long"), 0)
+    assert not nothing.may(hashes).any() and len(nothing.may(hashes[:0])) == 0
+
+
 def test_only_joining_links_leave_a_share():
     rng = np.random.default_rng(2)
     base = np.unique(rng.integers(1, 2**63, 400).astype(np.uint64))
