@@ -277,7 +277,7 @@ def test_texts_without_a_partner_are_not_shuffled(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {i: i for i, _ in alone} | {900: 900, 901: 900, 902: 900}
-    assert moved["met"] > 500_000  # signatures of all
+    assert moved.get("met", 0) + moved["members"] > 500_000  # signatures of all
     assert moved["links"] + moved.get("contents", 0) + moved.get("keys", 0) < 200_000
 
 
